@@ -1,4 +1,9 @@
 """Queries over the test tables, with their SQL."""
 
+from loomgrain.queries import compaction
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in (compaction,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL

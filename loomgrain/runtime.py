@@ -64,6 +64,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the run's folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -71,7 +76,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     several passes see the same ranges) and evaluates ``df`` once.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
