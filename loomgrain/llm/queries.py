@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import canonical, cutoffs, proportional
+from loomgrain.llm import canonical, cutoffs, encoding, mixing, proportional
 from loomgrain.runtime import load
 
 
@@ -49,4 +49,23 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("topic", "subtopic", "is_generated", "wanted", "available", "allocated", "short")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p4_report, p6_found, p6_sample, p6_report)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.token_ids(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(load(spark, sf_dir, "documents", "doc_id", "text", "source"), load(spark, sf_dir, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)[1]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_records, p4_found, p4_report, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares)
+}
