@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import canonical, cutoffs, encoding, mixing, proportional
+from loomgrain.llm import canonical, cutoffs, encoding, languages, mixing, proportional
 from loomgrain.runtime import load
 
 
@@ -32,6 +32,21 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir)[1]
 
 
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, sf_dir, "ocr_record", "item_id", "texts"), load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ocr, docs = _p5(spark, sf_dir)
+    quality = load(spark, sf_dir, "quality_record", "item_id", "assessed_at", "lang")
+    return languages.relabelled(ocr, quality, docs).select("item_id", "first_line", "lang")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of all records, with their confidence."""
+    return languages.record_segments(*_p5(spark, sf_dir)).selectExpr("item_id", "inline(segments)")
+
+
 def _p6(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, sf_dir, "data_item", "item_id", "topic", "subtopic", "is_generated"), load(spark, sf_dir, "sample_target")
 
@@ -67,5 +82,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_records, p4_found, p4_report, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares)
+    for f in (p1_found, p1_records, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares)
 }
