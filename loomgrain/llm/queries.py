@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import canonical, cutoffs, encoding, languages, mixing, proportional
+from loomgrain.llm import canonical, cutoffs, encoding, languages, mixing, proportional, truncation
 from loomgrain.runtime import load
 
 
@@ -80,7 +80,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir)[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found_cut(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_records, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares)
+    for f in (p1_found, p1_records, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
 }

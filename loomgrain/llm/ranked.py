@@ -108,3 +108,42 @@ def range_cumulated(df: DataFrame, order: list[Column], group: list[str], value:
     before = F.coalesce(F.sum("__sum").over(w.orderBy(PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = broadcast_if_small(staged(per.select(PID, *group, before.alias("__before")), name + "-offsets"))
     return rows.join(offsets, [PID, *group]).withColumn("total", F.col("__before") + F.col("__run")).drop(PID, "__before", "__run")
+
+
+def neighbours(df: DataFrame, order: list[str], key: str, ident: str, name: str) -> DataFrame:
+    """(a, b): the ``ident`` values of rows next to each other in ``order`` that have the same ``key``.
+
+    ``order`` starts with ``key`` and ends with ``ident`` (bigint).  The scan runs
+    within range partitions; the last row of a partition meets the first of the
+    next through two rows per partition, so a key may span any number of them.
+    """
+    rows = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.spark_partition_id().alias("p"))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pid, names = None, 0, ["p", "edge", "k", "a", "b"]
+        for x in batches:
+            if not x.num_rows:
+                continue
+            k, i = x.column(0), x.column(1)
+            one = lambda v, t: pa.array([v], t)
+            pid = x.column(2)[0].as_py()
+            edge = last is None
+            if edge:
+                yield pa.RecordBatch.from_arrays([one(pid, pa.int32()), one(0, pa.int32()), k[:1], i[:1], pa.nulls(1, pa.int64())], names=names)
+            elif last[0] == k[0].as_py():
+                yield pa.RecordBatch.from_arrays([one(pid, pa.int32()), pa.nulls(1, pa.int32()), k[:1], one(last[1], pa.int64()), i[:1]], names=names)
+            same = pc.equal(k[1:], k[:-1])
+            a, b, kk = i[:-1].filter(same), i[1:].filter(same), k[1:].filter(same)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pid, np.int32)), pa.nulls(len(a), pa.int32()), kk, a, b], names=names)
+            last = (k[-1].as_py(), i[-1].as_py())
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([1], pa.int32()), pa.array([last[0]], x.schema.field(0).type), pa.array([last[1]], pa.int64()), pa.nulls(1, pa.int64())], names=names)
+
+    found = staged(rows.mapInArrow(scan, f"p int, edge int, k {kind}, a bigint, b bigint"), name)
+    # two rows per partition, in order of the partitions
+    w = W.orderBy("p", "edge")
+    edges = found.where(F.col("edge").isNotNull()).select("p", "edge", "k", "a", F.lead("k").over(w).alias("k2"), F.lead("a").over(w).alias("b"))
+    across = edges.where((F.col("edge") == 1) & (F.col("k") == F.col("k2"))).select("a", "b")
+    return found.where(F.col("edge").isNull()).select("a", "b").unionByName(across)
