@@ -8,17 +8,11 @@ partitions; runs that cross a boundary are joined through two rows per partition
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.llm.ranked import run_counts, run_members
 from loomgrain.llm.textkeys import letters_digits
-from loomgrain.runtime import broadcast_if_small, staged
 
 # The names of a prompt's fields in this project.
 PROMPT_FIELDS = ("scene", "lettering", "material", "sign colour", "frame colour", "place", "size")
@@ -62,91 +56,6 @@ def canonical(items: DataFrame) -> DataFrame:
     return rows.where((F.col("key") != "\u001e") & F.col("item_id").isNotNull())
 
 
-_RUNS = "pid int, kind string, first_id bigint, item_id bigint, n bigint, key string"
-
-
-def _scan(members: bool):
-    """Arrow scan of sorted partitions.
-
-    Emits per partition: kind 'H' and 'T' (key, first id and size of its first
-    and last run), 'h' / 'm' members (of the first run / of later ones; the first
-    row of a later run is left out) or, without ``members``, 'r' one row per inner run.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_key = None  # key of the open run
-        run_first, run_n, head, pid = 0, 0, None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            pid = b.column(2)[0].as_py()
-            keys, ids = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            new = np.empty(len(ids), bool)
-            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-            new[0] = keys[0].as_py() != run_key
-            starts = np.flatnonzero(new)
-            if run_key is None:
-                run_key, run_first, run_n = keys[0].as_py(), int(ids[0]), 0
-                starts = starts[1:]
-            # rows before the first start belong to the open run
-            cuts = np.append(starts, len(ids))
-            firsts = np.concatenate([[run_first], ids[starts]]).astype(np.int64)
-            sizes = np.diff(np.concatenate([[0], cuts])).astype(np.int64)
-            if members:
-                owner = np.repeat(firsts, sizes)
-                is_head = np.zeros(len(ids), bool)
-                if head is None:
-                    is_head[: cuts[0]] = True
-                keep = is_head | (owner != ids)
-                if keep.any():
-                    yield _batch(pid, np.where(is_head[keep], "h", "m"), owner[keep], ids[keep], None, None)
-            sizes[0] += run_n
-            if len(starts):
-                if head is None:
-                    head = (run_key, run_first, int(sizes[0]))
-                    inner = slice(1, -1)
-                else:
-                    inner = slice(0, -1)
-                if not members and len(firsts[inner]):
-                    yield _batch(pid, np.full(len(firsts[inner]), "r"), firsts[inner], None, sizes[inner], None)
-                run_key, run_first, run_n = keys[int(starts[-1])].as_py(), int(firsts[-1]), int(sizes[-1])
-            else:
-                run_n = int(sizes[0])
-        if run_key is not None:
-            tail = (run_key, run_first, run_n)
-            ends = [("H", *head), ("T", *tail)] if head else [("B", *tail)]
-            yield _batch(pid, np.array([e[0] for e in ends]), np.array([e[2] for e in ends]), None, np.array([e[3] for e in ends]), [e[1] for e in ends])
-
-    return scan
-
-
-def _batch(pid, kind, first, item, n, key) -> pa.RecordBatch:
-    size = len(kind)
-    none = lambda t: pa.nulls(size, t)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(size, pid, np.int32)), pa.array(kind.astype(object), pa.string()), pa.array(first, pa.int64()),
-            none(pa.int64()) if item is None else pa.array(item, pa.int64()),
-            none(pa.int64()) if n is None else pa.array(n, pa.int64()),
-            none(pa.string()) if key is None else pa.array(key, pa.string()),
-        ],
-        names=["pid", "kind", "first_id", "item_id", "n", "key"],
-    )
-
-
-def _runs(items: DataFrame, members: bool, name: str) -> tuple[DataFrame, DataFrame]:
-    """(scanned rows, boundary runs with the first id of the record each belongs to)."""
-    order = [F.col("key").asc(), F.col("item_id").asc()]
-    rows = canonical(items).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.select("key", "item_id", F.spark_partition_id().alias("pid"))
-    scanned = staged(rows.mapInArrow(_scan(members), _RUNS), name)
-    # At most two rows per partition: the same key in neighbouring partitions is one record.
-    ends = scanned.where(F.col("kind").isin("H", "T", "B"))
-    w = W.partitionBy("key")
-    ends = ends.withColumn("record", F.min("first_id").over(w)).withColumn("total", F.sum("n").over(w)).drop("key", "item_id")
-    return scanned, staged(ends, name + "-ends")
-
-
 def found_duplicates(items: DataFrame, name: str = "copies") -> DataFrame:
     """One row (first_id, item_id) for each row but the first of its record.
 
@@ -155,17 +64,9 @@ def found_duplicates(items: DataFrame, name: str = "copies") -> DataFrame:
     rows without item_id are left out.  ``first_id`` is the smallest item_id of
     the record; an item_id that is delivered twice counts once.  Empty table: no rows.
     """
-    scanned, ends = _runs(items, True, name)
-    first_of = broadcast_if_small(ends.select("pid", F.col("first_id").alias("local"), "record").distinct())
-    m = scanned.where(F.col("kind").isin("h", "m")).select("pid", F.col("first_id").alias("local"), "item_id")
-    m = m.join(first_of, ["pid", "local"], "left")
-    first = F.coalesce("record", "local")
-    return m.select(first.alias("first_id"), "item_id").where(F.col("first_id") != F.col("item_id"))
+    return run_members(canonical(items), name)
 
 
 def record_counts(items: DataFrame, name: str = "records") -> DataFrame:
     """(first_id, n_rows): one representative per record and the rows it stands for."""
-    scanned, ends = _runs(items, False, name)
-    inner = scanned.where(F.col("kind") == "r").select("first_id", F.col("n").alias("n_rows"))
-    edge = ends.groupBy("record").agg(F.max("total").alias("n_rows")).select(F.col("record").alias("first_id"), "n_rows")
-    return inner.unionByName(edge)
+    return run_counts(canonical(items), name)

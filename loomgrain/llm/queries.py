@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import canonical, cutoffs, encoding, languages, mixing, proportional, truncation
+from loomgrain.llm import canonical, cutoffs, encoding, history, languages, mixing, proportional, truncation
 from loomgrain.runtime import load
 
 
@@ -16,6 +16,11 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.record_counts(load(spark, sf_dir, "data_item", "item_id", "query", "prompt"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = load(spark, sf_dir, "data_item", "item_id", "batch_no", "content_sha1", "shard", "image_path")
+    return history.repeats(items, load(spark, sf_dir, "hash_index", "item_id", "hash"))
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cutoffs.cutoffs(
         load(spark, sf_dir, "data_item", "item_id", "topic"),
@@ -90,5 +95,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_records, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
+    for f in (p1_found, p1_records, p3_found, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
 }
