@@ -35,20 +35,33 @@ def mean(values: Column) -> Column:
     return total / F.nullif(F.size(values), F.lit(0))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def std(values: Column) -> Column:
-    """Population standard deviation of an array; null for an empty one."""
-    m = mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.nullif(F.size(values), F.lit(0)))
+    """Population standard deviation of an array, in one pass; null for an empty one."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, v: Column) -> Column:
+        n = s["n"] + 1
+        mid = s["mean"] + (v - s["mean"]) / n
+        return F.struct(n.alias("n"), mid.alias("mean"), (s["m2"] + (v - s["mean"]) * (v - mid)).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda s: F.sqrt(s["m2"] / F.nullif(s["n"], F.lit(0.0))))
 
 
 def char_stats(boxes: Column) -> Column:
     """Mean height, coefficient of variation, number; without boxes (0, 1, 0)."""
-    h = F.transform(real_boxes(boxes), lambda b: height(b).cast("double"))
-    none = F.size(h) == 0
-    return F.struct(
-        F.when(none, 0.0).otherwise(mean(h)).alias("char_h_mean"),
-        F.when(none, 1.0).otherwise(std(h) / (mean(h) + 1e-6)).alias("char_h_cv"),
-        F.size(h).cast("bigint").alias("n_boxes"),
+    heights = F.transform(real_boxes(boxes), lambda b: height(b).cast("double"))
+    return let(
+        heights,
+        lambda h: F.struct(
+            F.coalesce(mean(h), F.lit(0.0)).alias("char_h_mean"),
+            F.coalesce(std(h) / (mean(h) + 1e-6), F.lit(1.0)).alias("char_h_cv"),
+            F.size(h).cast("bigint").alias("n_boxes"),
+        ),
     )
 
 
@@ -58,13 +71,18 @@ def line_stats(boxes: Column, gap: float = 0.8) -> Column:
     Box centres in order of height on the page; a gap of more than ``gap`` mean
     heights to the one before starts a line.
     """
-    b = real_boxes(boxes)
-    h = mean(F.transform(b, lambda x: height(x).cast("double")))
-    centre = F.array_sort(F.transform(b, lambda x: mean(F.transform(x, lambda p: p[1].cast("double")))))
-    steps = F.zip_with(F.slice(centre, 2, F.greatest(F.size(centre) - 1, F.lit(1))), centre, lambda hi, lo: F.when(hi.isNotNull(), (hi - lo > h * gap).cast("int")).otherwise(0))
-    lines = F.aggregate(steps, F.lit(1), lambda a, s: a + s)
-    none = F.size(b) == 0
-    return F.struct(F.when(none, 0).otherwise(lines).cast("bigint").alias("line_count"), F.when(none, 999.0).otherwise(std(F.transform(b, angle))).alias("line_angle_std"))
+
+    def lines(b: Column) -> Column:
+        far = mean(F.transform(b, lambda x: height(x).cast("double"))) * gap
+        centres = F.array_sort(F.transform(b, lambda x: mean(F.transform(x, lambda p: p[1].cast("double")))))
+        start = lambda limit: F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), limit.alias("far"))
+        step = lambda s, y: F.struct((s["n"] + F.when(s["last"].isNull() | (y - s["last"] > s["far"]), 1).otherwise(0)).alias("n"), y.alias("last"), s["far"].alias("far"))
+        return F.aggregate(centres, start(far), step, lambda s: s["n"].cast("bigint"))
+
+    return let(
+        real_boxes(boxes),
+        lambda b: F.struct(lines(b).alias("line_count"), F.coalesce(std(F.transform(b, angle)), F.lit(999.0)).alias("line_angle_std")),
+    )
 
 
 def densities(words: Column, chars: Column, width: Column, height_px: Column) -> Column:

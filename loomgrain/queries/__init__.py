@@ -1,9 +1,9 @@
 """Queries over the test tables, with their SQL."""
 
-from loomgrain.queries import compaction
+from loomgrain.queries import compaction, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (compaction,):
+for _m in (compaction, texts):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
