@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def from_hex(c: Column) -> Column:
@@ -41,7 +42,7 @@ def dct_hash(gray: np.ndarray) -> int | None:
     return int(np.packbits(bits).view(">i8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def phash(image: pd.DataFrame) -> pd.Series:
     """X5 over Spark's image struct (height, width, nChannels, data in BGR); null where there are no pixels."""
 

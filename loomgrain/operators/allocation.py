@@ -104,7 +104,7 @@ def scaled(needs: DataFrame, amount: int) -> DataFrame:
     total = x.agg(F.coalesce(F.sum(F.least("need", F.coalesce("room", "need"))), F.lit(0.0))).first()[0]
     if total >= amount:
         return shrunk(x.withColumn("need", F.col("need").cast("bigint")).withColumn("room", F.col("room").cast("bigint")), amount)
-    return x.groupBy(F.lit(0)).applyInPandas(_expand(amount), "topic string, subtopic string, need bigint")
+    return x.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_expand(amount), "topic string, subtopic string, need bigint")
 
 
 def parsed_needs(lines: DataFrame, pairs: DataFrame) -> DataFrame:
