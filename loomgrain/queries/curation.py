@@ -75,13 +75,11 @@ def round_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rejection_vectors(spark: SparkSession, d: str) -> DataFrame:
-    x = rounds.rejection_vector(rounds.with_rounds(_outcomes(spark, d), "item_id"))
-    return x.select("round_id", "label", F.round("share", 4).alias("share"))
+    return rounds.rejection_vector(rounds.with_rounds(_outcomes(spark, d), "item_id"))
 
 
 def round_metrics(spark: SparkSession, d: str) -> DataFrame:
-    x = rounds.metric_means(rounds.with_rounds(_outcomes(spark, d), "item_id"))
-    return x.select("round_id", *[F.round(m, 4).alias(m) for m in rounds.METRICS])
+    return rounds.metric_means(rounds.with_rounds(_outcomes(spark, d), "item_id"))
 
 
 def round_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +251,7 @@ _SUM = "SELECT round_id, count(*) AS processed, count(*) FILTER (WHERE len(reaso
 _COUNTS = "SELECT p.topic, p.subtopic, count(d.item_id) AS image_count FROM subtopic_pair p LEFT JOIN data_item d ON d.topic = p.topic AND d.subtopic = p.subtopic GROUP BY ALL"
 _REPS = "reps AS (SELECT hash, min(item_id) AS i FROM hash_index WHERE hash IS NOT NULL GROUP BY hash), pairs AS (SELECT a.i AS a, b.i AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM reps a JOIN reps b ON a.i < b.i AND bit_count(xor(a.hash, b.hash)) <= 3)"
 _NAMES = ", ".join(f"('{x}')" for x in rounds.LABELS)
-_REAL = lambda m: f"round(coalesce(avg({m}) FILTER (WHERE {m} IS NOT NULL AND NOT isnan({m}::DOUBLE)), 0.0), 4) AS {m}"
+_REAL = lambda m: f"round(coalesce(avg({m}) FILTER (WHERE {m} IS NOT NULL AND NOT isnan({m}::DOUBLE)), 0.0), 6) AS {m}"
 SQL = {
     "quality_codes": _W + "SELECT item_id, array_to_string(reasons, ',') AS codes FROM outcomes",
     "accept_rate_by_topic": _W + "SELECT topic, source, count(*) AS checked, count(*) FILTER (WHERE len(reasons) = 0) AS accepted, round(count(*) FILTER (WHERE len(reasons) = 0) / count(*), 6) AS accept_rate FROM outcomes GROUP BY topic, source",
@@ -262,7 +260,7 @@ SQL = {
     "rejection_vectors": _W + f""", bad AS (SELECT round_id, len(labels) AS n, unnest(labels) AS label FROM labelled WHERE len(labels) > 0),
       rej AS (SELECT round_id, count(*) AS rejected FROM labelled WHERE len(labels) > 0 GROUP BY round_id), r AS (SELECT DISTINCT round_id FROM outcomes),
       p AS (SELECT round_id, label, sum(1.0 / n) AS parts FROM bad GROUP BY ALL)
-      SELECT r.round_id, l.label, round(coalesce(100.0 * parts / rejected, 0.0), 4) AS share FROM r CROSS JOIN (VALUES {_NAMES}) l(label) LEFT JOIN p ON p.round_id = r.round_id AND p.label = l.label LEFT JOIN rej ON rej.round_id = r.round_id
+      SELECT r.round_id, l.label, round(coalesce(100.0 * parts / rejected, 0.0), 6) AS share FROM r CROSS JOIN (VALUES {_NAMES}) l(label) LEFT JOIN p ON p.round_id = r.round_id AND p.label = l.label LEFT JOIN rej ON rej.round_id = r.round_id
       UNION ALL SELECT r.round_id, 'total_rejection_reason_count', coalesce((SELECT count(*) FROM bad WHERE bad.round_id = r.round_id), 0)::DOUBLE FROM r""",
     "round_metrics": _W + "SELECT round_id, " + ", ".join(map(_REAL, rounds.METRICS)) + " FROM outcomes GROUP BY round_id",
     "round_trend": _W + f", s AS ({_SUM}), t AS (SELECT round_id, pass_rate AS p, lag(pass_rate) OVER (ORDER BY round_id) AS b FROM s) SELECT round_id, CASE WHEN p >= b THEN 'up' WHEN b IS NOT NULL THEN 'down' END AS trend, CASE WHEN b IS NULL THEN '' ELSE 'Pass rate ' || CASE WHEN p >= b THEN 'up ' ELSE 'down ' END || printf('%.3f', abs(p - b)) || '; ' END || 'OCR avg=None; CLIP=None; Text consistency=None. Suggestion: raise clarity thresholds, emphasise high resolution, topic keywords, and readable text.' AS advantage FROM t",
