@@ -114,6 +114,7 @@ class Scorer:
             parts = list(word) if _CJK.match(word) else _grams(word)
             zero = np.zeros(len(LANGS))
             logp = 0.6 * sum(np.log((self.grams.get(g, zero) + 0.3) / self.gram_total) for g in parts)
+            logp[LANGS.index("ja")] -= 1.0  # Han without kana: of no other weight where the script decides
         allowed = candidates(word)
         mask = np.full(len(LANGS), FOREIGN)
         mask[list(allowed)] = 0.0

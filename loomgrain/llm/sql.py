@@ -31,7 +31,44 @@ FROM wanted w LEFT JOIN available a ON a.t = w.t AND a.s = w.s AND a.g = w.is_ge
 WHERE coalesce(a.n, 0) < w.wanted
 """
 
+_NAMES = r"scene|lettering|material|sign[^\p{L}\p{N}]*colour|frame[^\p{L}\p{N}]*colour|place|size"
+_LABEL = r"""[\s"''*_]*[:=]"""
+_KEYED = rf"""
+WITH r AS (
+  SELECT item_id, coalesce({KEY.format('query')}, '') AS q, coalesce(prompt, '') AS p,
+    CASE WHEN starts_with(ltrim(prompt), '{{{{') THEN try_cast(prompt AS JSON) END AS j FROM data_item
+), x AS (
+  SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN list_transform(json_keys(j), lambda k: {KEY.format('k')} || '=' || {KEY.format("coalesce(json_extract_string(j, '$.\"' || k || '\"'), '')")})
+    WHEN len(regexp_extract_all(p, '(?i)({_NAMES}){_LABEL}', 1)) >= 2 THEN
+      list_transform(list_zip(regexp_extract_all(p, '(?i)({_NAMES}){_LABEL}', 1), regexp_split_to_array(p, '(?i)(?:{_NAMES}){_LABEL}')[2:]), lambda z: {KEY.format('z[1]')} || '=' || {KEY.format('z[2]')}) END AS f FROM r
+), k AS (
+  SELECT item_id, q, CASE WHEN f IS NOT NULL THEN 'N' || array_to_string(list_sort(list_distinct(f)), '|') WHEN {KEY.format('p')} = '' THEN '' ELSE 'F' || {KEY.format('p')} END AS p FROM x
+), g AS (SELECT item_id, min(item_id) OVER (PARTITION BY q, p) AS first_id FROM k WHERE q <> '' OR p <> '')
+""".replace("{{", "{").replace("}}", "}")
+
+_FILE = r"replace(url_decode(replace(image_path, '+', '%2B')), '\', '/')"
+for _ in range(4):
+    _FILE = rf"regexp_replace({_FILE}, '(^|/)(\.?/)+', '\1', 'g')"
+    _FILE = rf"regexp_replace({_FILE}, '[^/]+/\.\./', '', 'g')"
+_P3 = f"""
+WITH RECURSIVE r AS (
+  SELECT d.item_id, d.batch_no, nullif(regexp_extract(lower(content_sha1), '([0-9a-f]{{40}})', 1), '') AS dg, d.shard || chr(0) || {_FILE} AS f, h.hash
+  FROM data_item d LEFT JOIN hash_index h USING (item_id)
+), u AS (SELECT hash, min(item_id) AS i FROM r WHERE hash IS NOT NULL GROUP BY hash),
+e AS (
+  SELECT min(item_id) OVER (PARTITION BY dg) AS a, item_id AS b FROM r WHERE dg IS NOT NULL
+  UNION SELECT min(item_id) OVER (PARTITION BY f), item_id FROM r WHERE f IS NOT NULL
+  UNION SELECT min(item_id) OVER (PARTITION BY hash), item_id FROM r WHERE hash IS NOT NULL
+  UNION SELECT x.i, y.i FROM u x JOIN u y ON x.i < y.i AND bit_count(xor(x.hash, y.hash)) <= 3
+), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+c AS (SELECT DISTINCT a AS v, a AS root FROM s UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.v)
+SELECT min(root) AS kept_id, v AS item_id FROM c JOIN r ON r.item_id = c.v WHERE batch_no >= 1 GROUP BY v HAVING min(root) < v
+"""
+
 SQL = {
+    "p1_found": _KEYED + "SELECT first_id, item_id FROM g WHERE first_id <> item_id",
+    "p1_records": _KEYED + "SELECT first_id, count(*) AS n_rows FROM g GROUP BY first_id",
+    "p3_found": _P3,
     "p4_found": _SCORED + "SELECT s.item_id FROM scored s JOIN cut c USING (t) WHERE s.score >= c.cutoff",
     "p4_report": _SCORED
     + """SELECT g.topic, g.keep_permille, c.cutoff, coalesce(c.n, 0)::BIGINT AS n_scored,

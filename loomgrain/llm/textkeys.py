@@ -12,4 +12,5 @@ def letters_digits(c: Column) -> Column:
     Everything but Unicode letters (L*) and numbers (N*) is dropped first, then
     case is folded by upper and lower, so that sharp s meets SS.
     """
-    return F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")))
+    upper = F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    return F.lower(F.concat(upper, F.lit("")))  # the optimizer would drop an upper() directly within a lower()
