@@ -1,4 +1,4 @@
-"""Streaming forms: rounds by count, dedup by state, bans by timer, and event-time monitors."""
+"""Streaming forms: rounds by count, dedup and bans by state, and event-time monitors."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ class _Rounds(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "round_id bigint, processed bigint, accepted bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         r, n, ok = self.state.get() if self.state.exists() else (1, 0, 0)
         out = []
         for b in rows:
@@ -47,7 +47,7 @@ def rounds(outcomes: DataFrame, size: int = 1000) -> DataFrame:
 
 
 class _FirstKeep(StatefulProcessor):
-    """Kept hashes of a scope and band bucket, with the first path of each."""
+    """Kept hashes of a scope, with the first path of each."""
 
     def __init__(self, distance: int):
         self.distance = distance
@@ -55,7 +55,7 @@ class _FirstKeep(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getMapState("kept", "hash bigint", "path string, seq bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         known = {k[0]: v for k, v in self.kept.iterator()}
         for b in rows:
@@ -80,40 +80,34 @@ def keep_first(rows: DataFrame, distance: int = 3) -> DataFrame:
 
 
 class _Bans(StatefulProcessor):
-    """Failures of a host since its last ban; a timer ends a ban."""
+    """Failures of a host since its last ban, and the end of the ban."""
 
-    def __init__(self, failures: int, ban_ms: int):
-        self.failures, self.ban_ms = failures, ban_ms
+    def __init__(self, failures: int, ban_s: float):
+        self.failures, self.ban_s = failures, ban_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("fails", "n bigint, until bigint")
+        self.state = handle.getValueState("fails", "n bigint, until double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, until = self.state.get() if self.state.exists() else (0, 0)
-        out, now = [], timer_values.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, until = self.state.get() if self.state.exists() else (0, 0.0)
+        out = []
         for b in rows:
             for r in b.sort_values("seq").itertuples(index=False):
-                out.append((key[0], r.seq, now < until))
-                if now >= until and not r.ok:
+                out.append((key[0], r.seq, bool(r.t < until)))
+                if r.t >= until and not r.ok:
                     n += 1
                     if n >= self.failures:
-                        n, until = 0, now + self.ban_ms
-                        self.handle.registerTimer(until)
+                        n, until = 0, r.t + self.ban_s
         self.state.update((n, until))
         yield pd.DataFrame(out, columns=["host", "seq", "banned"])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        self.state.update((0, 0))
-        yield pd.DataFrame({"host": [], "seq": [], "banned": []})
-
     def close(self) -> None:
         pass
 
 
-def host_bans(log: DataFrame, failures: int = 15, ban_ms: int = 90_000) -> DataFrame:
-    """G12 on a stream of (host, seq, ok)."""
-    return log.select("host", "seq", "ok").groupBy("host").transformWithStateInPandas(_Bans(failures, ban_ms), "host string, seq bigint, banned boolean", "append", "ProcessingTime")
+def host_bans(log: DataFrame, failures: int = 15, ban_s: float = 90.0) -> DataFrame:
+    """G12 on a stream of (host, seq, t in seconds, ok): a ban ends by the time of the requests, so no timer is kept."""
+    return log.select("host", "seq", "t", "ok").groupBy("host").transformWithStateInPandas(_Bans(failures, ban_s), "host string, seq bigint, banned boolean", "append", "None")
 
 
 def windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
