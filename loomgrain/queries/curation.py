@@ -70,16 +70,21 @@ def reason_report(spark: SparkSession, d: str) -> DataFrame:
     return x.select("reason", "n", F.array_join("examples", "\n").alias("examples"))
 
 
+def _rounds(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Numbered outcomes; only the columns asked for are sorted and staged."""
+    return rounds.with_rounds(_outcomes(spark, d).select("item_id", "reasons", *columns), "item_id")
+
+
 def round_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounds.summary(rounds.with_rounds(_outcomes(spark, d), "item_id"))
+    return rounds.summary(_rounds(spark, d))
 
 
 def rejection_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return rounds.rejection_vector(rounds.with_rounds(_outcomes(spark, d), "item_id"))
+    return rounds.rejection_vector(_rounds(spark, d))
 
 
 def round_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounds.metric_means(rounds.with_rounds(_outcomes(spark, d), "item_id"))
+    return rounds.metric_means(_rounds(spark, d, *rounds.METRICS))
 
 
 def round_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -87,17 +92,17 @@ def round_trend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_top_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return rounds.top_reasons(rounds.with_rounds(_outcomes(spark, d), "item_id"))
+    return rounds.top_reasons(_rounds(spark, d))
 
 
 def round_queries(spark: SparkSession, d: str) -> DataFrame:
-    x = rounds.query_lists(rounds.with_rounds(_outcomes(spark, d), "item_id"))
+    x = rounds.query_lists(_rounds(spark, d, "query"))
     return x.select("round_id", *[F.array_join(c, "\n").alias(c) for c in ("accepted_queries", "rejected_queries")])
 
 
 def top_queries(spark: SparkSession, d: str) -> DataFrame:
     """Tallies of the history (all rounds but the last) merged with those of the last round; the best ten."""
-    r = rounds.with_rounds(_outcomes(spark, d), "item_id").select("round_id", "query", "reasons")
+    r = _rounds(spark, d, "query").select("round_id", "query", "reasons")
     last = r.agg(F.max("round_id").alias("last"))
     r = r.crossJoin(F.broadcast(last))
     lib = experience.accumulated(experience.tallies(r.where("round_id < last")), experience.tallies(r.where("round_id = last")))
@@ -105,7 +110,7 @@ def top_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
-    r = rounds.with_rounds(_outcomes(spark, d), "item_id").where("query IS NOT NULL")
+    r = _rounds(spark, d, "query", "legibility").where("query IS NOT NULL")
     c = r.select("query", F.col("legibility").alias("score"), F.col("round_id").alias("round"), F.when(F.size("reasons") == 0, "accepted").otherwise("rejected").alias("status"), F.col("item_id").alias("ord"))
     return experience.merged(c.withColumn("score", F.when(~F.isnan("score"), F.col("score"))))
 
