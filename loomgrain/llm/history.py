@@ -28,7 +28,7 @@ from loomgrain.runtime import broadcast_if_small, staged
 
 DISTANCE, RINGS, GROUP = 3, 4, 16
 PIECE_ROWS = 40_000  # nodes of a ring that one group of rows is meant to hold
-HOT_ROWS = 60_000  # nodes with equal leading 16 bits, beyond which these are split further
+HOT_ROWS = 2_000  # nodes with equal leading 16 bits, beyond which they go on finer rings
 MAX_SHARDS = 4  # shards of a piece before they are compacted into one
 
 
@@ -163,23 +163,27 @@ def distinct_hashes(rows: DataFrame) -> DataFrame:
 def _placed(nodes: DataFrame, hot_rows: int, piece_rows: int) -> DataFrame:
     """(ring, piece, lead, turn, hash, item_id, batch_no): every node once per ring, with the piece that holds its place.
 
-    A piece is a range of leading bits.  Where more than ``hot_rows`` nodes share
-    the leading 16 bits, the other 48 are again split into four, and the nodes sit on four finer rings whose
-    leading 28 bits agree: the same guarantee, so a hot place is split and no node left out.
+    A piece is a range of leading bits, of about ``piece_rows`` nodes.  Where more
+    than ``hot_rows`` nodes share the leading 16 bits, the other 48 are again split
+    into four, and the nodes sit on four finer rings, where 28 leading bits agree
+    within the beam: the same guarantee, so a dense place is split and no node left
+    out, and the beam stays narrow however many hashes there are.
     """
     n = nodes.count()
-    bits = max(0, min(GROUP, int(np.ceil(np.log2(max(n, 1) / piece_rows))) if n > piece_rows else 0))
+    log = lambda x: F.greatest(F.lit(0), F.ceil(F.log2(x / F.lit(float(piece_rows)))))
+    bits = max(0, min(GROUP, int(np.ceil(np.log2(n / piece_rows))))) if n > piece_rows else 0
     at = nodes.withColumn("ring", F.explode(F.array(*[F.lit(r) for r in range(RINGS)])))
-    lead = F.expr("cast(shiftrightunsigned(hash, 48 - 16 * ring) & 65535 as bigint)")
-    at = at.withColumn("lead16", lead)
-    hot = at.groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("ring", "lead16", F.lit(True).alias("hot"))
-    at = at.join(broadcast_if_small(staged(hot, "hot-rings")), ["ring", "lead16"], "left")
-    plain = at.where(F.col("hot").isNull()).select("ring", F.shiftright("lead16", GROUP - bits).alias("piece"), F.lit(16).alias("lead"), F.lit(0).alias("turn"), "hash", "item_id", "batch_no")
-    fine = at.where("hot").withColumn("turn", F.explode(F.array(*[F.lit(r) for r in range(4)])))
-    # the 48 bits behind the leading 16, as the ring is turned
-    rest = F.expr("((case when ring = 0 then hash else (shiftleft(hash, 16 * ring) | shiftrightunsigned(hash, 64 - 16 * ring)) end) & 281474976710655L)")
-    sub = F.expr("shiftrightunsigned(rest, 36 - 12 * turn) & 4095L")
-    fine = fine.withColumn("rest", rest).select("ring", (F.lit(1 << 40) + F.col("lead16") * 65536 + F.col("turn") * 4096 + sub).alias("piece"), F.lit(28).alias("lead"), "turn", "hash", "item_id", "batch_no")
+    at = at.withColumn("lead16", F.expr("cast(shiftrightunsigned(hash, 48 - 16 * ring) & 65535 as bigint)"))
+    # at most 4 x 65,536 rows
+    dense = at.groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    dense = staged(dense.select("ring", "lead16", F.least(F.lit(12), log(F.col("n"))).cast("int").alias("fine")), "dense-places")
+    at = at.join(broadcast_if_small(dense, 4 << GROUP), ["ring", "lead16"], "left")
+    plain = at.where(F.col("fine").isNull()).select("ring", F.shiftright("lead16", GROUP - bits).alias("piece"), F.lit(16).alias("lead"), F.lit(0).alias("turn"), "hash", "item_id", "batch_no")
+    fine = at.where(F.col("fine").isNotNull()).withColumn("turn", F.explode(F.array(*[F.lit(r) for r in range(4)])))
+    # the 48 bits behind the leading 16, as the ring is turned, and the 12 of them that lead on the finer ring
+    fine = fine.withColumn("rest", F.expr("(case when ring = 0 then hash else (shiftleft(hash, 16 * ring) | shiftrightunsigned(hash, 64 - 16 * ring)) end) & 281474976710655L"))
+    sub = F.expr("shiftrightunsigned(shiftrightunsigned(rest, 36 - 12 * turn) & 4095L, 12 - fine)")
+    fine = fine.select("ring", (F.lit(1 << 40) + F.col("lead16") * 4096 + sub).alias("piece"), F.lit(28).alias("lead"), "turn", "hash", "item_id", "batch_no")
     return plain.unionByName(fine)
 
 

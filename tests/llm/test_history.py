@@ -113,7 +113,7 @@ def test_routing_arrives_at_the_place_on_the_ring():
 def test_hot_places_are_split_without_loss(spark):
     """All hashes share their leading 48 bits, far beyond the limit for one piece."""
     rng = random.Random(8)
-    values = rng.sample(range(1 << 16), 400)
+    values = rng.sample(range(1 << 16), 400)  # pieces of 100 rows: the finer rings are cut too
     rows = [(v | (0xABCD << 48), i, i % 3) for i, v in enumerate(values)]
     df = spark.createDataFrame([(signed(h), i, b) for h, i, b in rows], "hash bigint, item_id bigint, batch_no int")
     links = history.near_links(df, hot_rows=50, piece_rows=100)
