@@ -51,3 +51,8 @@ def numbered(df: DataFrame, order: list[Column], column: str, group: list[str] |
     rows = range_sorted(df, order, name)
     offsets = broadcast_if_small(staged(group_offsets(rows, group or []), name + "-offsets"))
     return with_rank(rows, offsets, group or [], column)
+
+
+def dealt(df: DataFrame, order: list[Column], n: int, column: str = "worker") -> DataFrame:
+    """``column`` 0 .. n-1 in turns, in ``order``."""
+    return numbered(df, order, column, name="dealt").withColumn(column, F.pmod(F.col(column) - 1, F.lit(n)))

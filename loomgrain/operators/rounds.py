@@ -112,3 +112,19 @@ def reason_report(outcomes: DataFrame, order: str, path: str, examples: int = 6)
     few = salted.withColumn("r", first).where(F.col("r") <= examples)
     top = few.groupBy("reason").agg(F.slice(F.array_sort(F.collect_list("x")), 1, examples).alias("x"))
     return n.join(top, "reason").select("reason", "n", F.col("x.p").alias("examples"))
+
+
+def first_sample(rounds: DataFrame, order: str = "seq") -> DataFrame:
+    """Topic and subtopic of each round's first sample, accepted ones before rejected ones."""
+    rank = F.struct((F.size("reasons") > 0).cast("int").alias("rejected"), F.col(order).alias("o"))
+    return rounds.groupBy("round_id").agg(F.min_by(F.struct("topic", "subtopic"), rank).alias("x")).select("round_id", "x.*")
+
+
+def flat_stats(payload: Column) -> list[Column]:
+    """The columns a critic reads of a round's payload (JSON text), 0 or empty where missing."""
+    number = lambda p: F.coalesce(F.get_json_object(payload, f"$.{p}").try_cast("double"), F.lit(0.0))
+    return [
+        number("round_id").cast("bigint").alias("round"), number("pass_rate").alias("pass_rate"), number("metrics.avg_ocr_conf").alias("ocr_conf"),
+        number("metrics.semantic.combined").alias("clip"), number("metrics.text_consistency.combined_similarity").alias("text"),
+        F.coalesce(F.from_json(F.get_json_object(payload, "$.rejection_vector"), "array<double>"), F.array().cast("array<double>")).alias("vector"),
+    ]

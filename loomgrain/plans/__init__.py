@@ -88,3 +88,30 @@ def filled(pairs: DataFrame, accepted: DataFrame, target: int, plan: Callable[[D
             break
         prompts = improve(failed)
     return needs, done
+
+
+def screened(generated: DataFrame, settings: Settings, scorers: list[tuple[str, Stage]] = (), order: str = "seq") -> DataFrame:
+    """Generated rows through quality and the ``scorers``, and dedup last, so that only good rows take a place."""
+    live, done = generated, []
+    for name, run in [("quality", lambda x: x.withColumn("codes", gates.quality_codes(settings.quality))), *scorers]:
+        scored = staged(run(live).withColumn("reasons", F.col("codes")).drop("codes"), f"screen-{name}")
+        done.append(scored.where(F.size("reasons") > 0).withColumn("stage", F.lit(name)))
+        live = scored.where(F.size("reasons") == 0).drop("reasons")
+    d = dedup.keep_first(live, [], order, settings.max_distance, name="screen-dedup")
+    none = F.array().cast("array<string>")
+    out = live.join(d, order).withColumn("reasons", F.when(F.col("dup_of").isNotNull(), F.array(F.lit("pHash_duplicate"))).otherwise(none))
+    out = out.withColumn("stage", F.when(F.size("reasons") > 0, "dedup").otherwise("accepted"))
+    for x in done:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def allocation_prompt(counts: DataFrame, gap: int) -> str:
+    """What a model is asked to distribute a gap; one line per configured pair."""
+    lines = [f"{r['topic']} {r['subtopic']}: {r['image_count']}" for r in counts.orderBy("topic", "subtopic").collect()]
+    return f"{gap} images are missing. Present counts:\n" + "\n".join(lines) + "\nAnswer with one line per pair, as 'topic subtopic: number'."
+
+
+def plan_prompt(topic: str, subtopic: str, need: int) -> str:
+    """What a model is asked for the prompts of a pair."""
+    return f"Write {need} prompts for text-rich images of '{subtopic}' in '{topic}', as a JSON array of strings."

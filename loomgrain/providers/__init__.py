@@ -13,6 +13,10 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgrain import schemas
+from loomgrain.functions import ocrparse
 
 
 class Search(Protocol):
@@ -24,7 +28,11 @@ class Fetch(Protocol):
 
 
 class Ocr(Protocol):
-    def read(self, path: str) -> dict: ...
+    def read(self, path: str) -> list: ...
+
+
+class Image(Protocol):
+    def image(self, prompt: str, seed: int) -> str: ...
 
 
 class Embed(Protocol):
@@ -112,3 +120,24 @@ def embedded(df: DataFrame, text: str, provider: Embed, output: str = "embedding
 def captioned(df: DataFrame, provider: Caption, path: str = "path") -> DataFrame:
     """Captions; where the provider fails the caller falls back to a template."""
     return mapped(df, [path, "topic", "subtopic"], "caption", lambda: provider.caption, "string")
+
+
+def recognised(df: DataFrame, provider: Ocr, path: str = "path") -> DataFrame:
+    """An ``ocr`` record for each image; where the provider fails, an empty one with its error."""
+
+    def make():
+        def read(p: str) -> dict:
+            try:
+                return ocrparse.record(provider.read(p))
+            except Exception as e:
+                return ocrparse.record(None, type(e).__name__)
+
+        return read
+
+    kind = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.record("ocr")) + ">"
+    return mapped(df, [path], "ocr", make, kind)
+
+
+def generated(prompts: DataFrame, provider: Image, seed: int = 0) -> DataFrame:
+    """``path`` of the image of each prompt, null where none came; the seed is ``seed`` + idx."""
+    return mapped(prompts.withColumn("__seed", F.col("idx") + seed), ["prompt", "__seed"], "path", lambda: provider.image, "string").drop("__seed")

@@ -178,3 +178,42 @@ def test_latest_quality(spark):
     t = datetime.datetime(2024, 1, 1)
     q = spark.createDataFrame([(1, t, 0.5), (1, t + datetime.timedelta(1), 0.1), (1, None, 0.9), (2, None, 0.3), (None, t, 1.0), (2, None, 0.3)], "item_id bigint, assessed_at timestamp_ntz, legibility double")
     assert {r["item_id"]: r["legibility"] for r in gates.latest_quality(q).collect()} == {1: 0.1, 2: 0.3}
+
+
+class Reader:
+    def read(self, path):
+        if path == "bad":
+            raise OSError
+        return [([[0, 0], [9.5, 0], [9, 5], [0, 5]], ("hello", 87)), ({"points": [[0, 0]] * 4}, "  "), ([[0, 0]], ("x", 1)), {"box": [[1, 1]] * 4, "text": "b", "conf": 0.5}, 7]
+
+
+class Painter:
+    def image(self, prompt, seed):
+        return f"{prompt}-{seed}.png"
+
+
+def test_recognisers_and_painters(spark):
+    got = {r["path"]: r["ocr"] for r in providers.recognised(spark.createDataFrame([("a",), ("bad",)], "path string"), Reader()).collect()}
+    assert got["a"]["texts"] == ["hello", "b"] and got["a"]["confs"] == [0.87, 0.5] and got["a"]["boxes"][0][1] == [10, 0] and got["a"]["word_count"] == 2
+    assert got["bad"]["texts"] == [] and got["bad"]["error"] == "OSError"
+    p = spark.createDataFrame([("x", 2)], "prompt string, idx int")
+    assert providers.generated(p, Painter(), 5).first()["path"] == "x-7.png"
+
+
+def test_screening_dedups_last(spark):
+    rows = [(0, 1 << 8, *(GOOD | {"words": 1}).values()), (1, 1 << 8, *GOOD.values()), (2, 1 << 8, *GOOD.values())]
+    df = spark.createDataFrame(rows, "seq bigint, hash bigint, " + Q)
+    got = {r["seq"]: (r["stage"], r["reasons"]) for r in plans.screened(df, Settings(quality=QualityGate())).collect()}
+    assert got == {0: ("quality", ["words_lt"]), 1: ("accepted", []), 2: ("dedup", ["pHash_duplicate"])}
+
+
+def test_small_helpers(spark):
+    from loomgrain.operators import ordering, rounds
+
+    df = spark.createDataFrame([(i, 1, "t" if i else "u", "s", ["x"] if i < 2 else []) for i in range(5)], "seq bigint, round_id int, topic string, subtopic string, reasons array<string>")
+    assert tuple(rounds.first_sample(df).first()) == (1, "t", "s")
+    assert [r["worker"] for r in ordering.dealt(df, [F.col("seq").asc()], 3).orderBy("seq").collect()] == [0, 1, 2, 0, 1]
+    j = spark.createDataFrame([(json.dumps({"round_id": 3, "pass_rate": 0.5, "metrics": {"semantic": {"combined": 0.7}}, "rejection_vector": [1, 2]}),), ("{}",)], "p string")
+    assert [tuple(r) for r in j.select(*rounds.flat_stats(F.col("p"))).collect()] == [(3, 0.5, 0.0, 0.7, 0.0, [1.0, 2.0]), (0, 0.0, 0.0, 0.0, 0.0, [])]
+    c = spark.createDataFrame([("t", "s", 4)], "topic string, subtopic string, image_count bigint")
+    assert "t s: 4" in plans.allocation_prompt(c, 9) and "3 prompts" in plans.plan_prompt("t", "s", 3)
