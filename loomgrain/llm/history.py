@@ -198,26 +198,31 @@ def _ring_order(h: np.ndarray, ring: int, lead: int, turn: int) -> np.ndarray:
     return (x & ~mask) | low
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One piece: its batches arrive in order; yields the links found."""
-    t = pa.Table.from_batches(list(batches))
-    ring, lead, turn = (t.column(c)[0].as_py() for c in ("ring", "lead", "turn"))
-    h = _ring_order(t.column("hash").to_numpy().view(np.uint64), ring, lead, turn)
-    ids, no = t.column("item_id").to_numpy(), t.column("batch_no").to_numpy()
-    piece, links = Piece(lead), []
-    for b in np.unique(no):
-        links += piece.arrive(h[no == b], ids[no == b])
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _search(settled: int | None):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One piece: its batches arrive in order; yields the links found."""
+        t = pa.Table.from_batches(list(batches))
+        ring, lead, turn = (t.column(c)[0].as_py() for c in ("ring", "lead", "turn"))
+        h = _ring_order(t.column("hash").to_numpy().view(np.uint64), ring, lead, turn)
+        ids, no = t.column("item_id").to_numpy(), t.column("batch_no").to_numpy()
+        piece, links = Piece(lead), []
+        for b in np.unique(no):
+            links += piece.arrive(h[no == b], ids[no == b], match=settled is None or b > settled)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    return search
 
-def near_links(nodes: DataFrame, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """(a, b): links between ``nodes`` (hash, item_id, batch_no; hashes distinct) that differ in at most 3 bits.
+
+def near_links(nodes: DataFrame, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS, settled: int | None = None) -> DataFrame:
+    """(a, b): links between ``nodes`` (hash, item_id, batch_no) that differ in at most 3 bits.
 
     Of the links found within a piece, those are kept that join parts not joined
-    there yet: the components are those of all links, without all pairs of a dense place.
+    there yet: the components are those of all links, without all pairs of a dense
+    place.  Batches up to ``settled`` are only loaded as shards: they are searched by later
+    ones and not compared with each other again.
     """
     placed = _placed(nodes, hot_rows, piece_rows)
-    return placed.groupBy("ring", "piece", "turn").applyInArrow(_search, "a bigint, b bigint").distinct()
+    return placed.groupBy("ring", "piece", "turn").applyInArrow(_search(settled), "a bigint, b bigint").distinct()
 
 
 def rows_of(items: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -229,6 +234,12 @@ def rows_of(items: DataFrame, hashes: DataFrame) -> DataFrame:
     return x.join(hashes.where(F.col("item_id").isNotNull()).select("item_id", "hash"), "item_id", "left")
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """(item_id, key): digest, file and hash of each row, those that are there."""
+    keys = F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("f"), "file"), F.concat(F.lit("h"), F.col("hash").cast("string")))
+    return rows.select("item_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+
+
 def repeats(items: DataFrame, hashes: DataFrame, name: str = "history") -> DataFrame:
     """(kept_id, item_id) of each row of a later batch that shows an image of a row with a smaller item_id.
 
@@ -240,11 +251,38 @@ def repeats(items: DataFrame, hashes: DataFrame, name: str = "history") -> DataF
     rows without item_id are left out.  Empty tables: no rows.
     """
     rows = staged(rows_of(items, hashes), name + "-rows")
-    keys = F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("f"), "file"), F.concat(F.lit("h"), F.col("hash").cast("string")))
-    keyed = rows.select("item_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
-    equal = run_members(keyed, name + "-equal").select(F.col("first_id").alias("a"), F.col("item_id").alias("b"))
+    equal = run_members(_keys(rows), name + "-equal").select(F.col("first_id").alias("a"), F.col("item_id").alias("b"))
     nodes = staged(distinct_hashes(rows), name + "-nodes")
     links = equal.unionByName(near_links(nodes))
     image = components(links, name + "-images")
     later = rows.where(F.col("batch_no") >= 1).select("item_id").distinct()
     return image.join(later, "item_id").select(F.col("first_id").alias("kept_id"), "item_id")
+
+
+def accept(index: DataFrame | None, items: DataFrame, hashes: DataFrame, name: str = "accept") -> tuple[DataFrame, DataFrame]:
+    """(repeats of the batch, new index): one batch against an index of all that came before, whatever its batch_no.
+
+    The index (item_id, batch_no, digest, file, hash, image) is a table of ours; None starts
+    one.  History is not compared with itself again: its keys are met by those of the batch, its hashes are loaded
+    as one shard that the batch's own shard searches.  A batch can join two known images, which
+    then have one number in the new index; ``repeats`` gives the same images for all batches at once.
+    """
+    rows = staged(rows_of(items, hashes), name + "-rows")
+    mine, nodes = staged(_keys(rows), name + "-keys"), distinct_hashes(rows).withColumn("batch_no", F.lit(1))
+    links = run_members(mine, name + "-equal").select(F.col("first_id").alias("a"), F.col("item_id").alias("b"))
+    if index is not None:
+        first = staged(mine.groupBy("key").agg(F.min("item_id").alias("b")), name + "-first")
+        known = _keys(index.select(F.col("image").alias("item_id"), "digest", "file", "hash"))
+        links = links.unionByName(known.join(broadcast_if_small(first), "key").select(F.col("item_id").alias("a"), "b"))
+        old = index.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("image").alias("item_id")).withColumn("batch_no", F.lit(0))
+        nodes = nodes.unionByName(old)
+    links = links.unionByName(near_links(staged(nodes, name + "-nodes"), settled=0))
+    labels = components(links, name + "-images")
+    named = rows.join(labels, "item_id", "left").withColumn("image", F.coalesce("first_id", "item_id"))
+    found = named.where(F.col("image") < F.col("item_id")).select(F.col("image").alias("kept_id"), "item_id").distinct()
+    new = named.drop("first_id")
+    if index is not None:
+        moved = broadcast_if_small(labels.select(F.col("item_id").alias("image"), F.col("first_id").alias("to")))
+        kept = index.join(moved, "image", "left").withColumn("image", F.coalesce("to", "image")).drop("to")
+        new = kept.unionByName(new)
+    return found, staged(new, name + "-index")

@@ -81,6 +81,29 @@ def test_random_items_match_brute_force(spark, seed):
     assert found(spark, items, hashes) == brute(items, hashes)
 
 
+def test_batch_after_batch_gives_the_images_of_all_at_once(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    items, hashes = [], []
+    for i in range(1, 161):
+        items.append((i, min(3, i // 40), rng.choice([None, f"{rng.randrange(40):040x}"]), rng.choice([None, "s"]), rng.choice([f"p{rng.randrange(60)}", f"q{i}"])))
+        h = rng.choice(base)
+        for _ in range(rng.randrange(5)):
+            h ^= 1 << rng.randrange(64)
+        hashes.append((i, signed(h)))
+    index, seen = None, {}
+    for b in range(4):
+        part = spark.createDataFrame([(*r, "k", "h", 0) for r in items if r[1] == b], ITEM)
+        known = spark.createDataFrame([(*r, "d") for r in hashes if items[r[0] - 1][1] == b], H)
+        rows, index = history.accept(index, part, known)
+        for r in rows.collect():
+            assert items[r["item_id"] - 1][1] == b and r["kept_id"] < r["item_id"]
+            seen[r["item_id"]] = r["kept_id"]
+    images = sorted((r["image"], r["item_id"]) for r in index.collect() if r["batch_no"] and r["image"] != r["item_id"])
+    assert images == brute(items, hashes)
+    assert index.count() == 160 and set(seen) <= {i for _, i in images}
+
+
 def test_search_finds_what_an_exhaustive_one_finds_and_recall_grows_with_the_beam():
     rng = np.random.default_rng(3)
     nodes = np.sort(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 20_000, dtype=np.uint64))
