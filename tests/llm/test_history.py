@@ -101,7 +101,7 @@ def test_batch_after_batch_gives_the_images_of_all_at_once(spark):
             seen[r["item_id"]] = r["kept_id"]
     images = sorted((r["image"], r["item_id"]) for r in index.collect() if r["batch_no"] and r["image"] != r["item_id"])
     assert images == brute(items, hashes)
-    assert index.count() == 160 and set(seen) <= {i for _, i in images}
+    assert index.count() == 160 and {i for i in seen if i >= 40} <= {i for _, i in images}
 
 
 def test_search_finds_what_an_exhaustive_one_finds_and_recall_grows_with_the_beam():
