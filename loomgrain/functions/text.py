@@ -67,7 +67,7 @@ def to_sentence(c: Column, limit: int) -> Column:
 
 
 def template_caption(topic: Column, subtopic: Column) -> Column:
-    """X10."""
+    """X10. The wording is a fixed value."""
     word = lambda c: F.translate(F.coalesce(c, F.lit("")), "_", " ")
     core = strip(F.concat(word(topic), F.lit(" "), word(subtopic)))
     core = F.coalesce(F.nullif(core, F.lit("")), F.lit("text-centric poster"))
@@ -86,6 +86,7 @@ def layout_caption(topic: Column, subtopic: Column, texts: Column, quality: dict
     n = script_counts(F.array_join(F.filter(texts, lambda x: x.isNotNull()), " "))
     whole = lambda c: F.coalesce(quality[c], F.lit(0)).cast("bigint").cast("string")
     low_t, low_s = F.lower(t), F.lower(s)
+    # The sentences, their limits and key words.
     return F.concat_ws(
         " ",
         F.concat(F.lit("Text-dominant "), F.translate(t, "_", " "), F.lit(" / "), F.translate(s, "_", " "), F.lit(".")),
@@ -114,7 +115,7 @@ def prompt_match(prompt: Column, text: Column) -> Column:
 
 
 def quality_prompt(subtopic: Column) -> Column:
-    """X15."""
+    """X15. The wording is a fixed value."""
     return F.concat(
         F.lit("A high-resolution, text-dominant image of '"), subtopic,
         F.lit("', with clean grid layout, strong contrast, large readable glyphs, and consistent line orientation. No watermark or brand logos."),
@@ -122,7 +123,7 @@ def quality_prompt(subtopic: Column) -> Column:
 
 
 def similarity_prompts(topic: Column, subtopic: Column) -> Column:
-    """Three prompts of the topic, three of the subtopic, two of both."""
+    """Three prompts of the topic, three of the subtopic, two of both. The wordings are fixed values."""
     one = lambda c: [F.concat(F.lit(p), c) for p in ("An image about ", "A photo related to ", "A picture showing ")]
     return F.array(*one(topic), *one(subtopic), F.concat(F.lit("A picture of "), subtopic, F.lit(" in "), topic), F.concat(F.lit("A "), topic, F.lit(" image about "), subtopic))
 
@@ -147,7 +148,7 @@ def json_object(c: Column) -> Column:
 
 
 def advantage_text(rate: Column, before: Column, ocr: Column, clip: Column, text: Column) -> Column:
-    """The text that stands in for a critic's advice."""
+    """The text that stands in for a critic's advice. The wording is a fixed value."""
     trend = F.when(
         rate.isNotNull() & before.isNotNull(),
         F.concat(F.lit("Pass rate "), F.when(rate >= before, "up ").otherwise("down "), F.format_string("%.3f", F.abs(rate - before)), F.lit("; ")),

@@ -19,6 +19,7 @@ QUALITY_LABELS = (
 STAGE_LABELS = tuple(f"{s}_{d}" for s in ("semantic", "text") for d in ("topic_fail", "subtopic_fail", "combined_fail", "error"))
 LABELS = ("ocr_failure", "dedup_failure", *QUALITY_LABELS, *STAGE_LABELS)
 SYNONYMS = {"legacy_reject": "quality_error", "quality_reject": "quality_error", "quality_error": "quality_error"}
+# The metrics of a quality record that are averaged.
 METRICS = (
     "coverage", "legibility", "words", "sharpness", "contrast", "char_h_mean", "char_h_cv", "line_angle_std",
     "clutter_index", "centrality", "border_ratio", "char_density", "text_density",

@@ -14,6 +14,7 @@ from loomgrain import schemas
 from loomgrain.functions.urls import target_file
 from loomgrain.providers import Fetch, Search
 
+# Characters of a page that is no challenge, links of a result page.
 SHORTEST_PAGE = 8000
 PAGE = 57
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 
 @dataclass(frozen=True)
 class QualityGate:
-    """limits of the quality gate; a value equal to its limit passes."""
+    """limits of the quality gate; a value equal to its limit passes. The numbers here and below are fixed values."""
 
     min_coverage: float = 0.04
     min_legibility: float = 0.55
