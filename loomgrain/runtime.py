@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,36 @@ def session(app: str = "loomgrain", master: str | None = None, **conf: str) -> S
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once per application, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loomgrain-ship-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"loomgrain-{uuid.uuid4().hex[:12]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("loomgrain", os.path.relpath(full, here)))
+    sc.addPyFile(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Scan one Parquet table of ``sf_dir``; named columns only, if given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -46,7 +73,7 @@ def _root(spark: SparkSession) -> str:
     """The run's own folder below ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = sc.getConf().get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="loomgrain-")
             sc.setCheckpointDir(base)
@@ -76,6 +103,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     several passes see the same ranges) and evaluates ``df`` once.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

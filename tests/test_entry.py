@@ -59,3 +59,20 @@ def test_nothing_imports_the_optional_subpackage():
     for path in glob.glob(f"{root}/loomgrain/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "loomgrain.llm" not in open(path, encoding="utf-8").read(), path
+
+
+def test_workers_find_the_package_from_any_folder(sf, tmp_path):
+    """The driver may have the package on its path only by its own doing."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.abspath(entry.__file__))!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", e.queries()["concurrency_levels"](s, {sf!r}).count(), e.queries()["p2_found"](s, {sf!r}).count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1000 True" in out.stdout, out.stderr[-2000:]
