@@ -6,15 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions.hashes import hamming
-from loomgrain.runtime import staged
+from loomgrain.runtime import broadcast_if_small, staged
 
 BITS = 64
+HOT = 2_000  # rows that share a band, beyond which it is split
 
 
-def _bands(h: Column, d: int) -> list[Column]:
-    """d + 1 disjoint bands of the 64 bits: of two hashes within ``d`` bits at least one band is equal."""
-    cuts = [round(i * BITS / (d + 1)) for i in range(d + 2)]
-    return [F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)) for lo, hi in zip(cuts, cuts[1:])]
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def _masks(d: int) -> list[tuple[int, list[int]]]:
+    """d + 1 disjoint bands of the 64 bits, each with d + 1 parts of the bits outside it, as masks.
+
+    Of two hashes within ``d`` bits at least one band is equal, and with it at least one of its parts.
+    """
+    cut = lambda bits: [sum(1 << x for x in bits[round(i * len(bits) / (d + 1)) : round((i + 1) * len(bits) / (d + 1))]) for i in range(d + 1)]
+    out = []
+    for band in cut(list(range(BITS))):
+        rest = [x for x in range(BITS) if not band >> x & 1]
+        out.append((band, [band | part for part in cut(rest)]))
+    return out
+
+
+def _meeting(left: DataFrame, right: DataFrame, scope: list[str], d: int, hot: int, name: str) -> DataFrame:
+    """Rows of ``left`` (scope.., h, x) and ``right`` (scope.., g, y) that agree in a band and lie within ``d`` bits.
+
+    A band that more than ``hot`` rows of ``right`` share is split by its parts:
+    no row is left out, and no crowded bucket meets itself as a whole. A pair may come several times.
+    """
+    masks = _masks(d)
+    cut = lambda t, h: t.select("*", F.posexplode(F.array(*[F.col(h).bitwiseAND(F.lit(_signed(m))) for m, _ in masks])).alias("band", "key"))
+    a, b = cut(left, "h"), cut(right, "g")
+    on = [*scope, "band", "key"]
+    crowded = staged(b.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*on, F.lit(True).alias("hot")), name + "-crowded")
+    crowded = broadcast_if_small(crowded)
+
+    def split(t: DataFrame, h: str) -> DataFrame:
+        t = t.join(crowded, on, "left")
+        parts = F.array(*[F.array(*[F.col(h).bitwiseAND(F.lit(_signed(m))) for m in ms]) for _, ms in masks])
+        fine = t.where("hot").select("*", F.posexplode(F.get(parts, F.col("band"))).alias("part", "bits"))
+        plain = t.where("hot IS NULL").select("*", F.lit(-1).alias("part"), F.col("key").alias("bits"))
+        return plain.unionByName(fine).drop("hot", "key")
+
+    met = split(a, "h").join(split(b, "g"), [*scope, "band", "part", "bits"])
+    return met.where(hamming(F.col("h"), F.col("g")) <= d).drop("band", "part", "bits")
 
 
 def representatives(rows: DataFrame, scope: list[str], order: str, value: str = "hash") -> DataFrame:
@@ -22,21 +58,16 @@ def representatives(rows: DataFrame, scope: list[str], order: str, value: str =
     return rows.where(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def near_pairs(reps: DataFrame, scope: list[str], max_distance: int = 3, value: str = "hash") -> DataFrame:
+def near_pairs(reps: DataFrame, scope: list[str], max_distance: int = 3, value: str = "hash", hot: int = HOT, name: str = "near") -> DataFrame:
     """(scope.., a, b, distance) of the pairs of distinct hashes within ``max_distance`` bits, a < b by ``first``.
 
     Banded equi-join: hashes meet where one of d + 1 bands is equal, and are then
     compared in full. Equal hashes are collapsed before, so copies make no pairs.
     """
-    keep = reps.select(*scope, F.col(value).alias("h"), F.col("first").alias("i"))
-    band = F.posexplode(F.array(*_bands(F.col("h"), max_distance)))
-    at = keep.select("*", band.alias("band", "key"))
-    left, right = (at.withColumnsRenamed({"h": f"h{x}", "i": x}) for x in "ab")
-    x = left.join(right, [*scope, "band", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= max_distance))
-    # a pair that agrees in several bands is reported for the first of them
-    same = [p == q for p, q in zip(_bands(F.col("ha"), max_distance), _bands(F.col("hb"), max_distance))]
-    first = F.array_position(F.array(*same), F.lit(True)) - 1
-    return x.where(F.col("band") == first).select(*scope, "a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance"))
+    left = reps.select(*scope, F.col(value).alias("h"), F.col("first").alias("a"))
+    right = left.withColumnsRenamed({"h": "g", "a": "b"})
+    x = _meeting(left, right, scope, max_distance, hot, name).where(F.col("a") < F.col("b"))
+    return x.select(*scope, "a", "b", hamming(F.col("h"), F.col("g")).alias("distance")).distinct()
 
 
 def keep_first(rows: DataFrame, scope: list[str], order: str, max_distance: int = 3, releases: str | None = None, value: str = "hash", name: str = "keep") -> DataFrame:
@@ -83,12 +114,11 @@ def keep_first(rows: DataFrame, scope: list[str], order: str, max_distance: int
     return all_rows.select("i").join(found, "i", "left").select(F.col("i").alias(order), "dup_of")
 
 
-def near_values(values: DataFrame, taken: DataFrame, scope: list[str], max_distance: int, value: str = "hash") -> DataFrame:
+def near_values(values: DataFrame, taken: DataFrame, scope: list[str], max_distance: int, value: str = "hash", hot: int = HOT, name: str = "taken") -> DataFrame:
     """(scope.., h, by): for each distinct value the ``first`` of every taken value within the distance (equal ones too)."""
-    band = F.posexplode(F.array(*_bands(F.col("h"), max_distance)))
-    a = values.select(*scope, F.col(value).alias("h")).select("*", band.alias("band", "key"))
-    b = taken.select(*scope, F.col(value).alias("h"), F.col("first").alias("by")).select("*", band.alias("band", "key")).withColumnRenamed("h", "t")
-    return a.join(b, [*scope, "band", "key"]).where(hamming(F.col("h"), F.col("t")) <= max_distance).select(*scope, "h", "by").distinct()
+    left = values.select(*scope, F.col(value).alias("h"))
+    right = taken.select(*scope, F.col(value).alias("g"), F.col("first").alias("by"))
+    return _meeting(left, right, scope, max_distance, hot, name).select(*scope, "h", "by").distinct()
 
 
 def cleaned(rows: DataFrame, scope: list[str], order: str, value: str = "hash") -> DataFrame:

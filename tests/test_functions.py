@@ -175,6 +175,8 @@ def test_hamming_bands_meet_every_pair(spark):
                 values.add(h - (1 << 64) if h >> 63 else h)
         rows = list(enumerate(sorted(values)))
         df = spark.createDataFrame(rows, "i bigint, hash bigint")
-        got = {(r["a"], r["b"], r["distance"]) for r in dedup.near_pairs(dedup.representatives(df, [], "i"), [], d).collect()}
+        pairs = lambda hot: sorted((r["a"], r["b"], r["distance"]) for r in dedup.near_pairs(dedup.representatives(df, [], "i"), [], d, hot=hot).collect())  # noqa: B023, E731
+        got = set(pairs(2000))
+        assert pairs(3) == sorted(got)  # crowded bands are split and lose nothing
         dist = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
         assert got == {(i, j, dist(x, y)) for i, x in rows for j, y in rows if i < j and dist(x, y) <= d}
