@@ -101,6 +101,28 @@ def beam(nodes: np.ndarray, queries: np.ndarray, lead: int, width: int | None =
     return np.concatenate(out_q or [np.zeros(0, np.int64)]), np.concatenate(out_n or [np.zeros(0, np.int64)])
 
 
+def recall(hashes: np.ndarray, queries: np.ndarray, widths: tuple[int | None, ...] = (1, 2, 4, 8, 16, None), distance: int = DISTANCE) -> dict[int | None, float]:
+    """Share of the pairs an exhaustive search finds that beams of each width find; None widens as in use.
+
+    The exhaustive search is quadratic: for a sample of ``queries``.
+    """
+    exact = set()
+    for k in range(0, len(queries), 64):
+        near = np.bitwise_count(hashes[None, :] ^ queries[k : k + 64, None]) <= distance
+        exact |= {(k + int(q), int(n)) for q, n in zip(*np.nonzero(near))}
+    out = {}
+    for width in widths:
+        got = set()
+        for ring in range(RINGS):
+            x = rotated(hashes, ring)
+            order = np.argsort(x, kind="stable")
+            q, n = beam(x[order], rotated(queries, ring), GROUP, width, distance)
+            got |= set(zip(q.tolist(), order[n].tolist()))
+        assert got <= exact
+        out[width] = len(got) / len(exact) if exact else 1.0
+    return out
+
+
 def compacted(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """One ring of several: sorted runs, merged."""
     h, i = np.concatenate([s[0] for s in shards]), np.concatenate([s[1] for s in shards])
