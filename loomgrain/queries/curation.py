@@ -21,8 +21,12 @@ G = replace(QualityGate.shipped(), min_char_density=0.03, max_clutter=0.8)
 TARGET = 60_000  # items wanted by the gap analysis
 
 
+# What the gate reads of an assessment, without its arrays
+_GATED = ("item_id", "assessed_at", *rounds.METRICS, "min_side_val", "max_side_val", "aspect_ratio", "has_watermark", "lang", "lang_ok")
+
+
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    q = gates.latest_quality(load(spark, d, "quality_record")).select("item_id", F.lit(True).alias("assessed"), gates.quality_codes(G).alias("codes"), *rounds.METRICS)
+    q = gates.latest_quality(load(spark, d, "quality_record", *_GATED)).select("item_id", F.lit(True).alias("assessed"), gates.quality_codes(G).alias("codes"), *rounds.METRICS)
     items = load(spark, d, "data_item", "item_id", "image_path", "topic", "subtopic", "source", "query").join(q, "item_id", "left")
     return items.withColumn("reasons", F.when(F.col("assessed"), F.col("codes")).otherwise(F.array(F.lit("ocr_failed"))))
 
@@ -210,7 +214,7 @@ def keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 def keep_first_by_topic(spark: SparkSession, d: str) -> DataFrame:
     """G1, G2 within the scope; items that the quality gate rejects release their place."""
-    q = gates.latest_quality(load(spark, d, "quality_record")).select("item_id", (F.size(gates.quality_codes(G)) > 0).alias("rejected"))
+    q = gates.latest_quality(load(spark, d, "quality_record", *_GATED)).select("item_id", (F.size(gates.quality_codes(G)) > 0).alias("rejected"))
     rows = load(spark, d, "hash_index", "item_id", "hash", "scope").where("scope IS NOT NULL").join(q, "item_id", "left")
     return dedup.keep_first(rows, ["scope"], "item_id", releases="rejected")
 
