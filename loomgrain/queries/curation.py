@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.operators import allocation, dedup, experience, frontier, gates, ordering, rounds, search
-from loomgrain.queries.texts import LATEST
+from loomgrain.queries.texts import LATEST, _strip
 from loomgrain.runtime import load
 from loomgrain.thresholds import QualityGate
 
@@ -288,6 +288,7 @@ SQL = {
     "remaining_pairs": "SELECT topic, subtopic FROM subtopic_pair p WHERE NOT EXISTS (SELECT 1 FROM data_item d WHERE d.batch_no >= 5 AND d.topic = p.topic AND d.subtopic = p.subtopic)",
     "first_issues": "SELECT min(item_id) AS item_id, query FROM data_item WHERE batch_no >= 1 AND query IS NOT NULL AND query NOT IN (SELECT query FROM data_item WHERE batch_no = 0 AND query IS NOT NULL) GROUP BY query",
     "frontier_order": "SELECT item_id, CASE WHEN is_generated THEN 1 ELSE 10 END AS priority FROM data_item WHERE query IS NOT NULL AND is_generated IS NOT NULL ORDER BY priority, ingested_at DESC, encode(query || '#' || item_id) LIMIT 100",
+    "query_variants": f"WITH x AS (SELECT item_id, subtopic, list_filter([{_strip('query')}, {_strip('prompt')}], lambda t: t IS NOT NULL AND t <> '') AS l FROM data_item WHERE subtopic IS NOT NULL), v AS (SELECT item_id, CASE WHEN len(l) = 0 THEN [subtopic] WHEN len(l) = 2 AND l[1] = l[2] THEN [l[1]] ELSE l END AS v FROM x) SELECT item_id, len(v) AS n, array_to_string(v, chr(10)) AS variants FROM v",
     "near_pairs": f"WITH {_REPS} SELECT a, b, distance FROM pairs",
     "near_classes": f"WITH {_REPS}, l AS (SELECT i, count(*) AS n FROM (SELECT a AS i FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY i) SELECT h.item_id, r.i AS class_id, coalesce(l.n, 0) AS n_links FROM hash_index h JOIN reps r USING (hash) LEFT JOIN l ON l.i = r.i",
     "index_cleanup": "SELECT min(item_id) AS item_id FROM hash_index WHERE hash IS NOT NULL AND scope IS NOT NULL GROUP BY scope, hash UNION ALL SELECT item_id FROM hash_index WHERE hash IS NULL",
