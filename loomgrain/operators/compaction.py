@@ -10,6 +10,7 @@ bytes, and a table of the files' key ranges is written beside them.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.operators.ordering import range_cumulated
 from loomgrain.runtime import broadcast_if_small, staged
 
 RUN = "image_path string, ts_ms bigint, record string"
@@ -163,9 +165,59 @@ def consolidate(files: DataFrame, path: str, target_bytes: int = 128 << 20, dist
     parts = parts.select("part", "image_path", "ts_ms", "record", "n_bytes")
     data = parts.repartition("part").sortWithinPartitions("part", "image_path", "ts_ms", "record")
     data.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data")
+    table = _ranges(spark.read.schema(parts.schema).parquet(f"{path}/data"))
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    return spark.read.parquet(f"{path}/ranges")
+
+
+def _ranges(written: DataFrame) -> DataFrame:
+    """The range table of written parts."""
     key = F.struct("image_path", "ts_ms")
-    written = spark.read.schema(parts.schema).parquet(f"{path}/data")
     table = written.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.min(key).alias("first"), F.max(key).alias("last"))
-    table = table.select("part", "n_rows", "n_bytes", F.col("first.image_path").alias("first_path"), F.col("first.ts_ms").alias("first_ts_ms"), F.col("last.image_path").alias("last_path"), F.col("last.ts_ms").alias("last_ts_ms"))
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    return table.select("part", "n_rows", "n_bytes", F.col("first.image_path").alias("first_path"), F.col("first.ts_ms").alias("first_ts_ms"), F.col("last.image_path").alias("last_path"), F.col("last.ts_ms").alias("last_ts_ms"))
+
+
+def extend(files: DataFrame, path: str, target_bytes: int = 128 << 20, name: str = "extend", max_parts: int = 200_000) -> DataFrame:
+    """Merges the distinct records of new ``files`` into what ``consolidate`` wrote; returns the new range table.
+
+    Each record goes to the part whose range it falls into, found by the range table;
+    only parts that get a record are read, merged and written again, rolled by bytes where
+    they have grown (further pieces get new numbers, the range table holds their order).
+    A repeated run changes nothing. The range table goes to every task: up to
+    ``max_parts`` files; beyond that an error asks for larger files.
+    """
+    spark = files.sparkSession
+    table = staged(spark.read.parquet(f"{path}/ranges"), name + "-ranges")
+    new = staged(merged_records(files).select("image_path", "ts_ms", "record", "n_bytes"), name + "-new")
+    starts = table.orderBy("first_path", "first_ts_ms").select("first_path", "first_ts_ms", "part").limit(max_parts + 1).collect()
+    if len(starts) > max_parts:
+        raise ValueError(f"more than {max_parts} parts: consolidate with a larger target_bytes")
+    keys, parts = [(r[0], r[1]) for r in starts], [r[2] for r in starts] or [0]
+    shared = spark.sparkContext.broadcast((keys, parts))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, parts = shared.value
+        for b in batches:
+            at = [parts[max(0, bisect_right(keys, k) - 1)] for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["part", *b.schema.names])
+
+    schema = "part bigint, image_path string, ts_ms bigint, record string, n_bytes bigint"
+    placed = staged(new.mapInArrow(place, schema), name + "-placed")
+    touched = broadcast_if_small(staged(placed.select("part").distinct(), name + "-touched"), max_parts)
+    old = spark.read.schema(schema).parquet(f"{path}/data").join(touched, "part", "left_semi") if starts else placed.limit(0)
+    both = old.select(*placed.columns).unionByName(placed)
+    one = both.groupBy("part", "image_path", "ts_ms").agg(F.min(F.struct("record", "n_bytes")).alias("x")).select("part", "image_path", "ts_ms", "x.record", "x.n_bytes")
+    rolled = range_cumulated(one, [F.col(c).asc() for c in ("part", "image_path", "ts_ms")], ["part"], "n_bytes", name + "-rolled")
+    rolled = rolled.withColumn("roll", F.expr(f"(total - n_bytes) div {int(target_bytes)}"))
+    last = max(parts)
+    # one row per file to be written
+    numbers = rolled.where("roll > 0").select("part", "roll").distinct()
+    numbers = numbers.select("part", "roll", (F.row_number().over(W.orderBy("part", "roll")) + F.lit(last)).cast("bigint").alias("number"))
+    numbers = broadcast_if_small(staged(numbers, name + "-numbers"), max_parts)
+    out = rolled.join(numbers, ["part", "roll"], "left").withColumn("part", F.coalesce("number", "part")).select(*placed.columns)
+    out = staged(out, name + "-out")
+    data = out.repartition("part").sortWithinPartitions("part", "image_path", "ts_ms", "record")
+    data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/data")
+    kept = table.join(touched, "part", "left_anti").unionByName(_ranges(out))
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
     return spark.read.parquet(f"{path}/ranges")

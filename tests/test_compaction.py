@@ -58,6 +58,34 @@ def test_files_are_few_sorted_and_whole(spark):
     assert kept == 2500
 
 
+def test_extending_rewrites_only_what_it_touches(spark):
+    rng = random.Random(2)
+    path = scratch(spark, "test-extended")
+    make = lambda lo, hi, n: [json.dumps({"image_path": f"p{rng.randrange(lo, hi):04d}.jpg", "ts": rng.randrange(50), "pad": "z" * rng.randrange(300)}) for _ in range(n)]
+    first, more = make(0, 1000, 1500), make(300, 420, 700)
+    compaction.consolidate(files(spark, first), path, 20_000)
+    where = lambda: {r["part"]: r["f"] for r in spark.read.parquet(path + "/data").selectExpr("part", "_metadata.file_path AS f").distinct().collect()}
+    before = where()
+    ranges = sorted(compaction.extend(files(spark, more + first[:40]), path, 20_000).collect(), key=lambda r: (r["first_path"], r["first_ts_ms"]))
+    after = where()
+    keys = sorted({(r["image_path"], r["ts"] * 1000) for r in map(json.loads, first + more)})
+    assert sorted((r["image_path"], r["ts_ms"]) for r in spark.read.parquet(path + "/data").collect()) == keys
+    assert sum(r["n_rows"] for r in ranges) == len(keys) and {r["part"] for r in ranges} == set(after)
+    ends = [((r["first_path"], r["first_ts_ms"]), (r["last_path"], r["last_ts_ms"])) for r in ranges]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and all(r["n_bytes"] < 21_000 for r in ranges)
+    compaction.extend(files(spark, make(300, 301, 5)), path, 20_000)
+    later = where()
+    assert len(after) > len(before) and sum(later[p] == f for p, f in after.items()) >= len(after) - 2
+
+
+def test_extending_nothing_and_with_nothing(spark):
+    path = scratch(spark, "test-extended")
+    compaction.consolidate(files(spark, []), path)
+    assert compaction.extend(files(spark, []), path).count() == 0
+    assert compaction.extend(files(spark, [json.dumps({"image_path": "a", "ts": 1})]), path).first()["n_rows"] == 1
+    assert compaction.extend(files(spark, [""]), path).first()["n_rows"] == 1
+
+
 def test_test_table_matches_brute_force(spark, sf):
     df = spark.read.parquet(f"{sf}/sidecar_file.parquet")
     expected, decoder = set(), json.JSONDecoder()
