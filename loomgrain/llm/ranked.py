@@ -14,43 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.operators.ordering import PID, POS, group_offsets, range_cumulated, range_sorted, with_rank
 from loomgrain.runtime import broadcast_if_small, staged
 
-PID, POS = "__pid", "__pos"
-_LOW = (1 << 33) - 1
-
-
-def range_sorted(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``order``, staged with ``__pid`` and ``__pos``.
-
-    ``order`` should end with a unique column: then equal keys can be split
-    between partitions and the order is total.
-    """
-    row = F.monotonically_increasing_id()
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = out.withColumn("__row", row)
-    out = out.withColumn(PID, F.shiftright("__row", 33).cast("int")).withColumn(POS, F.col("__row").bitwiseAND(F.lit(_LOW)))
-    return staged(out.drop("__row"), name)
-
-
-def group_offsets(sorted_df: DataFrame, group: list[str]) -> DataFrame:
-    """One row per (partition, group): first position, rows, and rows of the group before it.
-
-    At most (partitions + groups) rows, since groups are contiguous.
-    """
-    per = sorted_df.groupBy(PID, *group).agg(F.min(POS).alias("__start"), F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*group).orderBy(PID)
-    return per.withColumn("__before", F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-
-
-def with_rank(sorted_df: DataFrame, offsets: DataFrame, group: list[str], rank: str) -> DataFrame:
-    """Adds ``rank``, counted from 1 within the group over all partitions."""
-    joined = sorted_df.join(offsets, [PID, *group])
-    return joined.withColumn(rank, F.col("__before") + F.col(POS) - F.col("__start") + 1).drop("__before", "__start", "__n", PID, POS)
+__all__ = ["PID", "POS", "group_offsets", "kth_rows", "neighbours", "range_cumulated", "range_sorted", "run_counts", "run_members", "with_rank"]
 
 
 def kth_rows(sorted_df: DataFrame, offsets: DataFrame, wanted: DataFrame, group: list[str], k: str) -> DataFrame:
@@ -66,50 +37,6 @@ def kth_rows(sorted_df: DataFrame, offsets: DataFrame, wanted: DataFrame, group:
     return sorted_df.join(at, [PID, POS])
 
 
-def range_cumulated(df: DataFrame, order: list[Column], group: list[str], value: str, name: str) -> DataFrame:
-    """``df`` range-sorted by ``order`` with ``total``: sum of ``value`` over the rows of the group up to this one.
-
-    ``order`` starts with the columns of ``group`` and ends with a unique one.
-    Running sums within each partition are taken in the pass that sorts it, then
-    prefix sums of the partitions' totals are added; a group may span any number
-    of partitions.  ``value`` is a bigint without nulls.
-    """
-    cols = df.columns
-    at = [cols.index(g) for g in group]
-    val = cols.index(value)
-
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(val).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.zeros(b.num_rows, bool)
-            for i in at:
-                c = b.column(i)
-                new[1:] |= ~pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
-            key = tuple(b.column(i)[0].as_py() for i in at)
-            new[0] = key != last
-            cum = np.cumsum(v)
-            starts = np.flatnonzero(new)
-            base = np.full(b.num_rows, total, np.int64)
-            if len(starts):
-                run = np.cumsum(new) - 1
-                base = np.where(run >= 0, -(cum - v)[starts][np.maximum(run, 0)], total)
-            out = cum + base
-            last, total = tuple(b.column(i)[-1].as_py() for i in at), int(out[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "__run"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __run bigint"
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, schema)
-    rows = staged(rows.withColumn(PID, F.spark_partition_id()), name)
-    per = rows.groupBy(PID, *group).agg(F.max("__run").alias("__sum"))
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("__sum").over(w.orderBy(PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = broadcast_if_small(staged(per.select(PID, *group, before.alias("__before")), name + "-offsets"))
-    return rows.join(offsets, [PID, *group]).withColumn("total", F.col("__before") + F.col("__run")).drop(PID, "__before", "__run")
-
-
 def neighbours(df: DataFrame, order: list[str], key: str, ident: str, name: str) -> DataFrame:
     """(a, b): the ``ident`` values of rows next to each other in ``order`` that have the same ``key``.
 
