@@ -149,6 +149,16 @@ def test_near_copy_shows_the_cut(spark):
     assert got == {1: False, 2: True, 3: False}
 
 
+def test_many_copies_with_the_same_cut_meet_the_whole_text(spark):
+    """More copies than bands: equal in length, each with a misreading of its own, and one whole text."""
+    words = [f"word{i:03d}" for i in range(300)]
+    whole = " ".join(words) + " and the last words of it are here."
+    end = " ".join(words) + " and the last words of i"
+    rows = [(k, end.replace(f"word{k:03d}", f"w0rd{k:03d}")) for k in range(10, 70)] + [(1000, whole)]
+    got = {r["doc_id"]: r["cut"] for r in truncation.aligned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: True for k in range(10, 70)}
+
+
 def test_alignment():
     assert truncation.ends_early("the price of the wee", "the price of the week.") is True
     assert truncation.ends_early("the price", "the price of the week.") is True
