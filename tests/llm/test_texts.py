@@ -168,6 +168,20 @@ def test_alignment():
     assert truncation.ends_early("something else", "the price of the week.") is None
 
 
+def test_alignment_with_differences_at_the_cut():
+    whole = " ".join(f"word{i} goes here and there." for i in range(30)) + "\nThe last entry of the evening menu is 4711 and no more"
+    a = whole[:-14]  # "... evening menu is 4"
+    assert truncation.ends_early(a.replace("evening", "evenlng"), whole) is True
+    assert truncation.ends_early(a.replace("evening", "Evening"), whole) is True
+    assert truncation.ends_early(a.replace("the evening", "the\nevening"), whole) is True
+    assert truncation.ends_early(a.replace("evening", "evenning"), whole) is True
+    assert truncation.ends_early(whole[:-17] + "…", whole) is True
+    assert truncation.ends_early(whole[:-18] + "�", whole) is True
+    assert truncation.ends_early(whole.replace("evening", "evenlng"), whole) is None
+    assert truncation.ends_early(whole.replace("evening", "evenlng"), whole + "\nOne more") is False
+    assert truncation.ends_early(whole[:-8] + "nobody", whole) is None
+
+
 def test_cut_of_empty_table_and_rates(spark):
     assert cut(spark, []) == []
     d = spark.createDataFrame([*BASE, (200, "Nobody could say who wro", None)], "doc_id bigint, text string, source string")
