@@ -74,9 +74,10 @@ class _FirstKeep(StatefulProcessor):
 
 
 def keep_first(rows: DataFrame, distance: int = 3) -> DataFrame:
-    """G1 on a stream of (scope, seq, path, hash): greedy first-keep with the kept hashes of a scope as state."""
+    """G1 on a stream of (scope, seq, path, hash): greedy first-keep with the kept hashes of a scope as state; rows without a hash are kept."""
+    none = rows.where("hash IS NULL").select("scope", "seq", "path", F.lit(None).cast("string").alias("dup_of"))
     x = rows.where("hash IS NOT NULL").select("scope", "seq", "path", "hash")
-    return x.groupBy("scope").transformWithStateInPandas(_FirstKeep(distance), "scope string, seq bigint, path string, dup_of string", "append", "None")
+    return x.groupBy("scope").transformWithStateInPandas(_FirstKeep(distance), "scope string, seq bigint, path string, dup_of string", "append", "None").unionByName(none)
 
 
 class _Bans(StatefulProcessor):

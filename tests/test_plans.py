@@ -217,3 +217,9 @@ def test_small_helpers(spark):
     assert [tuple(r) for r in j.select(*rounds.flat_stats(F.col("p"))).collect()] == [(3, 0.5, 0.0, 0.7, 0.0, [1.0, 2.0]), (0, 0.0, 0.0, 0.0, 0.0, [])]
     c = spark.createDataFrame([("t", "s", 4)], "topic string, subtopic string, image_count bigint")
     assert "t s: 4" in plans.allocation_prompt(c, 9) and "3 prompts" in plans.plan_prompt("t", "s", 3)
+
+
+def test_streaming_keep_first_keeps_rows_without_a_hash(spark):
+    rows = spark.createDataFrame([("a", 1, "p1", 5), ("a", 2, "p2", None), ("a", 3, "p3", 5)], "scope string, seq bigint, path string, hash bigint")
+    got = run_stream(spark, rows, lambda s: streaming.keep_first(s, 1))
+    assert {r["seq"]: r["dup_of"] for r in got} == {1: None, 2: None, 3: "p1"}
