@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from loomgrain.runtime import ship_active
+
 
 def from_hex(c: Column) -> Column:
     """16 hex digits as a bigint; null if it is anything else."""
@@ -43,8 +45,7 @@ def dct_hash(gray: np.ndarray) -> int | None:
 
 
 @F.pandas_udf(LongType())
-def phash(image: pd.DataFrame) -> pd.Series:
-    """X5 over Spark's image struct (height, width, nChannels, data in BGR); null where there are no pixels."""
+def _phash(image: pd.DataFrame) -> pd.Series:
 
     def one(h: int, w: int, c: int, data: bytes) -> int | None:
         if h is None or h <= 0 or not data:
@@ -54,3 +55,9 @@ def phash(image: pd.DataFrame) -> pd.Series:
         return dct_hash(gray)
 
     return pd.Series([one(*r) for r in zip(image["height"], image["width"], image["nChannels"], image["data"])], dtype="Int64")
+
+
+def phash(image: Column) -> Column:
+    """X5 over Spark's image struct (height, width, nChannels, data in BGR); null where there are no pixels."""
+    ship_active()
+    return _phash(image)

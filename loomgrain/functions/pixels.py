@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from loomgrain.runtime import pandas_map
+
 CENTRE = (0.15, 0.85)
 BORDER = 0.05
 
@@ -122,4 +124,4 @@ def scored(images, key: str = "path"):
             yield pd.concat([t[[key]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "image", "boxes").mapInPandas(run, f"{key} {kind}, {SCORES}")
+    return pandas_map(images.select(key, "image", "boxes"), run, f"{key} {kind}, {SCORES}")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.runtime import grouped
+
 # All tables here have one row per category (topic, subtopic): the configured
 # pairs, not the samples. Their windows are over that dimension.
 KEY = ["topic", "subtopic"]
@@ -104,7 +106,7 @@ def scaled(needs: DataFrame, amount: int) -> DataFrame:
     total = x.agg(F.coalesce(F.sum(F.least("need", F.coalesce("room", "need"))), F.lit(0.0))).first()[0]
     if total >= amount:
         return shrunk(x.withColumn("need", F.col("need").cast("bigint")).withColumn("room", F.col("room").cast("bigint")), amount)
-    return x.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_expand(amount), "topic string, subtopic string, need bigint")
+    return grouped(x.withColumn("one", F.lit(1)), "one").applyInPandas(_expand(amount), "topic string, subtopic string, need bigint")
 
 
 def parsed_needs(lines: DataFrame, pairs: DataFrame) -> DataFrame:

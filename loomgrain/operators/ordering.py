@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrain.runtime import broadcast_if_small, staged
+from loomgrain.runtime import arrow_map, broadcast_if_small, staged
 
 PID, POS = "__pid", "__pos"
 _LOW = (1 << 33) - 1
@@ -98,7 +98,7 @@ def range_cumulated(df: DataFrame, order: list[Column], group: list[str], value:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "__run"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __run bigint"
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, schema)
+    rows = arrow_map(df.repartitionByRange(*order).sortWithinPartitions(*order), running, schema)
     rows = staged(rows.withColumn(PID, F.spark_partition_id()), name)
     per = rows.groupBy(PID, *group).agg(F.max("__run").alias("__sum"))
     w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrain.functions.vectors import cosine, rescaled
+from loomgrain.runtime import arrow_map
 from loomgrain.thresholds import Minima
 
 
@@ -70,7 +71,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
             at = np.nonzero(np.isfinite(best))
             yield pa.RecordBatch.from_arrays([pa.array(names[at[0]]), pa.array(ids[at]), pa.array(best[at])], names=["query", "match", "similarity"])
 
-        one = x.mapInArrow(search, f"query {kind}, match {kind}, similarity double")
+        one = arrow_map(x, search, f"query {kind}, match {kind}, similarity double")
         found = one if found is None else found.unionByName(one)
     r = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match"))
     return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "match", "rank", F.round("similarity", 6).alias("similarity"))

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomgrain.runtime import pandas_map
+
 
 def _folded(df: DataFrame, key: str, order: list[str], schema: str, start, step) -> DataFrame:
     """Per ``key``, rows in ``order``: ``step(state, row)`` gives an output tuple; state is ``start()`` for a new key."""
@@ -29,7 +31,7 @@ def _folded(df: DataFrame, key: str, order: list[str], schema: str, start, step)
             yield pd.DataFrame(out, columns=names)
 
     ordered = df.repartition(key).sortWithinPartitions(key, *order)
-    return ordered.mapInPandas(fold, schema)
+    return pandas_map(ordered, fold, schema)
 
 
 def adaptive_concurrency(log: DataFrame, start: int = 8, low: int = 2, high: int = 32, every: int = 80) -> DataFrame:

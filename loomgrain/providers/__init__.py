@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgrain import schemas
 from loomgrain.functions import ocrparse
+from loomgrain.runtime import pandas_map
 
 
 class Search(Protocol):
@@ -109,7 +110,7 @@ def mapped(df: DataFrame, inputs: list[str], output: str, make: Callable[[], Cal
             yield b.assign(**{output: [safe(*r) for r in b[inputs].itertuples(index=False)]})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, `{output}` {schema}")
+    return pandas_map(df, run, f"{fields}, `{output}` {schema}")
 
 
 def embedded(df: DataFrame, text: str, provider: Embed, output: str = "embedding") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,34 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def ship_active() -> None:
+    """``ship`` for functions of columns, which know no session."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package, which the workers get beforehand.
+
+    What the workers are given is fixed when Spark wraps the function, so the package has to be shipped by then.
+    """
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def pandas_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
+def grouped(df: DataFrame, *keys: str):
+    """``groupBy`` for a function of this package to be applied to."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Scan one Parquet table of ``sf_dir``; named columns only, if given."""
     ship(spark)
@@ -75,6 +104,8 @@ def _root(spark: SparkSession) -> str:
     if sc.applicationId not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="loomgrain-")
             sc.setCheckpointDir(base)
         root = _roots[sc.applicationId] = f"{base.rstrip('/')}/loomgrain-{sc.applicationId}"

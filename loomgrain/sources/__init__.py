@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from loomgrain import schemas
 from loomgrain.functions.urls import target_file
 from loomgrain.providers import Fetch, Search
+from loomgrain.runtime import pandas_map
 
 # Characters of a page that is no challenge, links of a result page.
 SHORTEST_PAGE = 8000
@@ -121,7 +122,7 @@ def downloaded(urls: DataFrame, have: DataFrame, provider: Fetch, least: int = 1
                     out.append((url, file, None, type(e).__name__))
             yield pd.DataFrame(out, columns=["url", "file", "content", "error"])
 
-    return todo.mapInPandas(fetch, "url string, file string, content binary, error string")
+    return pandas_map(todo, fetch, "url string, file string, content binary, error string")
 
 
 def dry_run(spark: SparkSession, query: str, n: int) -> DataFrame:

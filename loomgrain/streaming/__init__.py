@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loomgrain.runtime import grouped
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,7 +45,7 @@ ROUND = "shard string, round_id bigint, processed bigint, accepted bigint, rejec
 def rounds(outcomes: DataFrame, size: int = 1000) -> DataFrame:
     """Closed rounds of a stream of (shard, seq, accepted). One state per shard: a shard's rounds are counted apart."""
     x = outcomes.select("shard", "seq", "accepted")
-    return x.groupBy("shard").transformWithStateInPandas(_Rounds(size), ROUND, "append", "None")
+    return grouped(x, "shard").transformWithStateInPandas(_Rounds(size), ROUND, "append", "None")
 
 
 class _FirstKeep(StatefulProcessor):
@@ -77,7 +79,7 @@ def keep_first(rows: DataFrame, distance: int = 3) -> DataFrame:
     """G1 on a stream of (scope, seq, path, hash): greedy first-keep with the kept hashes of a scope as state; rows without a hash are kept."""
     none = rows.where("hash IS NULL").select("scope", "seq", "path", F.lit(None).cast("string").alias("dup_of"))
     x = rows.where("hash IS NOT NULL").select("scope", "seq", "path", "hash")
-    return x.groupBy("scope").transformWithStateInPandas(_FirstKeep(distance), "scope string, seq bigint, path string, dup_of string", "append", "None").unionByName(none)
+    return grouped(x, "scope").transformWithStateInPandas(_FirstKeep(distance), "scope string, seq bigint, path string, dup_of string", "append", "None").unionByName(none)
 
 
 class _Bans(StatefulProcessor):
@@ -108,7 +110,7 @@ class _Bans(StatefulProcessor):
 
 def host_bans(log: DataFrame, failures: int = 15, ban_s: float = 90.0) -> DataFrame:
     """G12 on a stream of (host, seq, t in seconds, ok): a ban ends by the time of the requests, so no timer is kept."""
-    return log.select("host", "seq", "t", "ok").groupBy("host").transformWithStateInPandas(_Bans(failures, ban_s), "host string, seq bigint, banned boolean", "append", "None")
+    return grouped(log.select("host", "seq", "t", "ok"), "host").transformWithStateInPandas(_Bans(failures, ban_s), "host string, seq bigint, banned boolean", "append", "None")
 
 
 def windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

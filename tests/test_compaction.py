@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 from datetime import datetime, timezone
 
 import pytest
@@ -13,7 +14,7 @@ def files(spark, contents):
 
 
 def found(spark, contents):
-    return sorted(tuple(r) for r in compaction.found_records(files(spark, contents)).collect())
+    return sorted((r["image_path"], r["ts_ms"]) for r in compaction.found_records(files(spark, contents)).collect())
 
 
 def test_layouts_fragments_and_repeats(spark):
@@ -41,49 +42,107 @@ def test_times(text, ms):
     assert compaction.epoch_ms(text) == ms
 
 
-def test_files_are_few_sorted_and_whole(spark):
+def made(rng, lo, hi, n):
+    return [json.dumps({"image_path": f"p{rng.randrange(lo, hi):04d}.jpg", "ts": rng.randrange(50), "pad": "z" * rng.randrange(300)}) for _ in range(n)]
+
+
+def stored(spark, path):
+    return Counter((r["image_path"], r["ts_ms"], r["record"]) for r in compaction.records(spark, path).collect())
+
+
+def as_stored(texts):
+    return Counter((r["image_path"], r["ts"] * 1000, json.dumps(r, sort_keys=True)) for r in map(json.loads, texts))
+
+
+def whole(spark, path, table):
+    """The range table holds for the files, in order and without gaps."""
+    rows = sorted(table.collect(), key=lambda r: r["part"])
+    for r in rows:
+        x = spark.read.parquet(r["file"]).collect()
+        keys = [(y["image_path"], y["ts_ms"], y["digest"]) for y in x]
+        assert keys == sorted(keys) and len(x) == r["n_rows"] and sum(y["n_bytes"] for y in x) == r["n_bytes"]
+        assert keys[0] == (r["first_path"], r["first_ts_ms"], r["first_digest"]) and keys[-1] == (r["last_path"], r["last_ts_ms"], r["last_digest"])
+    ends = [((r["first_path"], r["first_ts_ms"], r["first_digest"]), (r["last_path"], r["last_ts_ms"], r["last_digest"])) for r in rows]
+    assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:])) and [r["part"] for r in rows] == list(range(len(rows)))
+    return rows
+
+
+@pytest.mark.parametrize("fan_in", [64, 2])
+@pytest.mark.parametrize("unique", compaction.UNIQUE)
+def test_runs_are_merged_into_few_sorted_files(spark, monkeypatch, unique, fan_in):
+    monkeypatch.setattr(compaction, "BLOCK_ROWS", 32)
     rng = random.Random(1)
-    records = [{"image_path": f"p{rng.randrange(300):04d}.jpg", "ts": rng.randrange(50), "pad": "z" * rng.randrange(300)} for _ in range(2000)]
-    contents = ["\n".join(map(json.dumps, records[i : i + 7])) for i in range(0, 2000, 7)] + [json.dumps(records[0])] * 500
+    texts = made(rng, 0, 300, 2000)
+    texts += [texts[0]] * 900 + texts[:200]  # a record that holds a third of all rows
     path = scratch(spark, "test-consolidated")
-    ranges = sorted(compaction.consolidate(files(spark, contents), path, 20_000).collect(), key=lambda r: r["part"])
-    keys = {(r["image_path"], r["ts"] * 1000) for r in records}
-    written = [(r["image_path"], r["ts_ms"]) for r in spark.read.parquet(path + "/data").orderBy("part", "image_path", "ts_ms").collect()]
-    assert written == sorted(keys)
-    assert sum(r["n_rows"] for r in ranges) == len(keys)
-    assert all(15_000 < r["n_bytes"] < 25_000 for r in ranges[:-1])
-    ends = [((r["first_path"], r["first_ts_ms"]), (r["last_path"], r["last_ts_ms"])) for r in ranges]
-    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
-    kept = compaction.merged_records(files(spark, contents), distinct=False).count()
-    assert kept == 2500
-
-
-def test_extending_rewrites_only_what_it_touches(spark):
+    table = compaction.consolidate(files(spark, ["\n".join(texts[i : i + 7]) for i in range(0, len(texts), 7)]).repartition(7), path, 60_000, unique, fan_in)
+    rows, expected, got = whole(spark, path, table), as_stored(texts), stored(spark, path)
+    if unique == "key":
+        assert sorted(k[:2] for k in got.elements()) == sorted({k[:2] for k in expected}) and set(got) <= set(expected)
+    else:
+        assert got == (Counter(set(expected)) if unique else expected)
+    assert len(rows) > 3 and all(r["n_bytes"] < 140_000 for r in rows)
+
+
+def test_differing_records_of_one_key_and_repeats_are_kept(spark):
+    a, b, c = ({"image_path": "a", "ts": 1, "x": x} for x in "abc")
+    for unique, n in ((None, (3, 5)), ("record", (2, 3)), ("key", (1, 1))):
+        path = scratch(spark, "test-kept")
+        compaction.consolidate(files(spark, [json.dumps(x) for x in (a, a, b)]), path, unique=unique)
+        assert compaction.records(spark, path).count() == n[0]
+        compaction.extend(files(spark, [json.dumps(x) for x in (c, a)]), path)
+        assert compaction.records(spark, path).count() == n[1]
+
+
+@pytest.mark.parametrize("unique", compaction.UNIQUE)
+def test_extending_rewrites_only_what_it_touches(spark, monkeypatch, unique):
+    monkeypatch.setattr(compaction, "BLOCK_ROWS", 16)
     rng = random.Random(2)
     path = scratch(spark, "test-extended")
-    make = lambda lo, hi, n: [json.dumps({"image_path": f"p{rng.randrange(lo, hi):04d}.jpg", "ts": rng.randrange(50), "pad": "z" * rng.randrange(300)}) for _ in range(n)]
-    first, more = make(0, 1000, 1500), make(300, 420, 700)
-    compaction.consolidate(files(spark, first), path, 20_000)
-    where = lambda: {r["part"]: r["f"] for r in spark.read.parquet(path + "/data").selectExpr("part", "_metadata.file_path AS f").distinct().collect()}
-    before = where()
-    ranges = sorted(compaction.extend(files(spark, more + first[:40]), path, 20_000).collect(), key=lambda r: (r["first_path"], r["first_ts_ms"]))
-    after = where()
-    keys = sorted({(r["image_path"], r["ts"] * 1000) for r in map(json.loads, first + more)})
-    assert sorted((r["image_path"], r["ts_ms"]) for r in spark.read.parquet(path + "/data").collect()) == keys
-    assert sum(r["n_rows"] for r in ranges) == len(keys) and {r["part"] for r in ranges} == set(after)
-    ends = [((r["first_path"], r["first_ts_ms"]), (r["last_path"], r["last_ts_ms"])) for r in ranges]
-    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and all(r["n_bytes"] < 21_000 for r in ranges)
-    compaction.extend(files(spark, make(300, 301, 5)), path, 20_000)
-    later = where()
-    assert len(after) > len(before) and sum(later[p] == f for p, f in after.items()) >= len(after) - 2
+    first, more = made(rng, 0, 1000, 1500), made(rng, 300, 420, 700)
+    again = [x for x in first if '"p03' in x]
+    before = {r["file"] for r in compaction.consolidate(files(spark, first), path, 20_000, unique).collect()}
+    rows = whole(spark, path, compaction.extend(files(spark, more + again), path, 20_000))
+    expected, got = as_stored(first + more + again), stored(spark, path)
+    if unique == "key":
+        assert sorted(k[:2] for k in got.elements()) == sorted({k[:2] for k in expected})
+    else:
+        assert got == (Counter(set(expected)) if unique else expected)
+    after = {r["file"] for r in rows}
+    assert len(after & before) > len(before) // 3 and all(r["n_bytes"] < 35_000 for r in rows)
+    later = {r["file"] for r in compaction.extend(files(spark, made(rng, 300, 301, 5)), path, 20_000).collect()}
+    assert len(after - later) <= 2
+    n = sum(stored(spark, path).values())
+    assert compaction.expire(spark, path) > 0 and sum(stored(spark, path).values()) == n
+
+
+def test_an_unfinished_version_does_not_hold(spark, monkeypatch):
+    path = scratch(spark, "test-unfinished")
+    one, two = ([json.dumps({"image_path": p, "ts": 1})] for p in "ab")
+    compaction.consolidate(files(spark, one), path)
+    commit = compaction._commit
+
+    def fails(*_):
+        raise RuntimeError("lost between the data and the range table")
+
+    monkeypatch.setattr(compaction, "_commit", fails)
+    with pytest.raises(RuntimeError):
+        compaction.extend(files(spark, two), path)
+    assert [k[0] for k in stored(spark, path)] == ["a"]
+    monkeypatch.setattr(compaction, "_commit", commit)
+    compaction.extend(files(spark, two), path)
+    assert sorted(k[0] for k in stored(spark, path)) == ["a", "b"]
 
 
 def test_extending_nothing_and_with_nothing(spark):
     path = scratch(spark, "test-extended")
-    compaction.consolidate(files(spark, []), path)
+    assert compaction.consolidate(files(spark, []), path).count() == 0
     assert compaction.extend(files(spark, []), path).count() == 0
     assert compaction.extend(files(spark, [json.dumps({"image_path": "a", "ts": 1})]), path).first()["n_rows"] == 1
     assert compaction.extend(files(spark, [""]), path).first()["n_rows"] == 1
+    assert compaction.extend(files(spark, [json.dumps({"image_path": "A", "ts": 1})]), path).first()["n_rows"] == 2
+    with pytest.raises(ValueError):
+        compaction.consolidate(files(spark, []), path, unique="x")
 
 
 def test_test_table_matches_brute_force(spark, sf):

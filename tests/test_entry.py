@@ -76,3 +76,41 @@ print("ROWS", e.queries()["concurrency_levels"](s, {sf!r}).count(), e.queries()[
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 1000 True" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("call", [
+    "from loomgrain.operators import compaction; compaction.parsed_records(spark.createDataFrame([('{\"image_path\": \"a\", \"ts\": 1}',)], 'content string')).collect()",
+    "from loomgrain.operators import throttle; throttle.token_bucket(spark.createDataFrame([('a', 1, 1.0)], 'worker string, seq bigint, t double'), 1.0).collect()",
+    "from loomgrain.functions import jsonrepair; spark.createDataFrame([('[1]',)], 'a string').select(jsonrepair.parsed_list('a')).collect()",
+    "from loomgrain.operators import ordering; from pyspark.sql import functions as F; ordering.range_cumulated(spark.range(3), [F.col('id').asc()], [], 'id', 'x').collect()",
+])
+def test_operators_work_on_any_frame_of_a_bare_session(tmp_path, call):
+    out = _alone(tmp_path, call + "; print('DONE')")
+    assert "DONE" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    """No folder of a single machine takes the place of the shared one."""
+    from types import SimpleNamespace as N
+
+    from loomgrain import runtime
+
+    none = N(get=lambda *_: None)
+    on = lambda master: N(conf=none, sparkContext=N(applicationId="test-" + master, master=master, getConf=lambda: none, setCheckpointDir=lambda _: None))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            runtime.scratch(on(master), "x")
+    assert runtime.scratch(on("local[2]"), "x").startswith("file://")
+
+
+def _alone(folder, code):
+    import subprocess
+    import sys
+
+    head = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.abspath(entry.__file__))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")}
+    return subprocess.run([sys.executable, "-c", head + code], cwd=folder, env=env, capture_output=True, text=True, timeout=300)
