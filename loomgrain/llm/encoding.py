@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.runtime import arrow_map
+
 TOKENIZER_DIR = os.environ.get("LOOMGRAIN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -142,7 +144,7 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None
             ids = encoder(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), encode, "doc_id bigint, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
@@ -156,4 +158,4 @@ def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", tokens bigint"
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(count, schema)
+    return arrow_map(docs.select(*keep, F.col("text").cast("string").alias("__text")), count, schema)

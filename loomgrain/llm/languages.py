@@ -21,7 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.runtime import arrow_map
+
 LANGS = ("en", "zh", "de", "ja", "fr", "es", "ru", "ko", "it")
+OTHER = "und"  # none of them: another script, or words that none of the labelled documents has
+LABELS = (*LANGS, OTHER)
 # Other names and codes of the languages, and what stands for "not known".
 NAMES = {
     "en": ("en", "eng", "english"), "zh": ("zh", "zho", "chi", "chinese", "cmn"), "de": ("de", "deu", "ger", "german"),
@@ -31,6 +35,8 @@ NAMES = {
 UNKNOWN = ("", "und", "unknown", "n/a", "na", "none", "null", "nan", "mul", "mis", "zxx", "?", "-", "--", "other", "auto", "undefined", "not known")
 CLIP, FOREIGN, SWITCH = -6.0, -8.0, 3.0
 PER_LANGUAGE = 3_000
+LATIN = (0, 2, 4, 5, 8)  # languages whose script is that of many others
+LEAST_KNOWN, LEAST_WORDS = 0.3, 6  # of so many words and more in a segment of these, this share is known in its language
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ々]+")
@@ -66,10 +72,10 @@ def tokens(line: str) -> list[str]:
 
 
 def candidates(token: str) -> tuple[int, ...]:
-    """Indexes of the languages written in the token's script; all, for a script of none of them."""
+    """Indexes of the languages written in the token's script; none, for a script of none of them."""
     o = max(map(ord, token))
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
-        return (0, 2, 4, 5, 8)
+        return LATIN
     if 0x400 <= o < 0x530:
         return (6,)
     if 0x1100 <= o < 0x1200 or 0x3130 <= o < 0x3190 or 0xAC00 <= o < 0xD7B0:
@@ -78,7 +84,7 @@ def candidates(token: str) -> tuple[int, ...]:
         return (3,)
     if 0x3400 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or token == "々":
         return (1, 3)
-    return tuple(range(len(LANGS)))
+    return ()
 
 
 def _grams(word: str) -> list[str]:
@@ -87,7 +93,11 @@ def _grams(word: str) -> list[str]:
 
 
 class Scorer:
-    """Scores of words, by language: log posterior under equal priors, clipped, plus a penalty outside the script's candidates."""
+    """Scores of words, by language: log posterior under equal priors, clipped, plus a penalty outside the script's candidates.
+
+    A word in a script of none of the languages is penalised in all, any other in ``OTHER``. Beside the scores stands
+    whether the labelled documents have the word in that language.
+    """
 
     def __init__(self, counts: dict[str, np.ndarray], memory: int = 1_000_000):
         self.counts, self.memory = counts, memory
@@ -104,10 +114,16 @@ class Scorer:
         self.total, self.grams = total + 1.0, grams
         self.gram_total = sum(grams.values(), np.zeros(n)) + 1.0
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((4096, n), np.float32)
+        self.rows = np.zeros((4096, 2 * n + 1), np.float32)
 
-    def _score(self, word: str) -> np.ndarray:
+    def _row(self, word: str) -> np.ndarray:
+        allowed = candidates(word)
+        if not allowed:
+            return np.concatenate([np.full(len(LANGS), FOREIGN), np.zeros(len(LANGS) + 1)])
         c = self.counts.get(word)
+        return np.concatenate([self._score(word, c, allowed), [FOREIGN], np.zeros(len(LANGS)) if c is None else c > 0])
+
+    def _score(self, word: str, c: np.ndarray | None, allowed: tuple[int, ...]) -> np.ndarray:
         if c is not None and c.sum() >= 2:
             logp = np.log((c + 0.05) / self.total)
         else:
@@ -115,7 +131,6 @@ class Scorer:
             zero = np.zeros(len(LANGS))
             logp = 0.6 * sum(np.log((self.grams.get(g, zero) + 0.3) / self.gram_total) for g in parts)
             logp[LANGS.index("ja")] -= 1.0  # Han without kana: of no other weight where the script decides
-        allowed = candidates(word)
         mask = np.full(len(LANGS), FOREIGN)
         mask[list(allowed)] = 0.0
         best = logp[list(allowed)]
@@ -130,16 +145,16 @@ class Scorer:
             i = len(known)
             if i >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = self._score(w)
+            self.rows[i] = self._row(w)
             known[w] = i
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by line and language, whether the line has letters)."""
+    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by line and label, words in each line, those of them known in each language)."""
         split = [tokens(x) for x in lines]
         n = np.fromiter(map(len, split), np.int64, len(split))
         at = self.index(list(chain.from_iterable(split)))
-        out = np.zeros((len(lines), len(LANGS)), np.float32)
+        out = np.zeros((len(lines), self.rows.shape[1]), np.float32)
         full = np.flatnonzero(n)
         if len(full):
             starts = (np.cumsum(n) - n)[full]
@@ -148,7 +163,7 @@ class Scorer:
                 f, lo = full[k : k + 50_000], starts[k]
                 hi = starts[k + 50_000] if k + 50_000 < len(full) else len(at)
                 out[f] = np.add.reduceat(self.rows[at[lo:hi]], starts[k : k + 50_000] - lo, axis=0)
-        return out, n > 0
+        return out[:, : len(LABELS)], n, out[:, len(LABELS) :]
 
 
 def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -171,9 +186,14 @@ def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def segments(score: np.ndarray, lettered: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, str, float]]:
-    """(first line, lines, language, confidence) of the runs of a record; none without letters."""
-    rows = np.flatnonzero(lettered)
+def segments(score: np.ndarray, words: np.ndarray, known: np.ndarray | None = None, switch: float = SWITCH) -> list[tuple[int, int, str, float]]:
+    """(first line, lines, language, confidence) of the runs of a record; none without letters.
+
+    ``words`` and ``known`` count the words of each line, and those known in each language.  Scores of words that
+    stand together are not independent: the confidence is the share of the language when the sum of n words counts as
+    that of their square root.  A run in Latin letters whose words are hardly known in its language is ``OTHER``, with the share that is not known.
+    """
+    rows = np.flatnonzero(words)
     if not len(rows):
         return []
     path = viterbi(score[rows], switch)
@@ -182,11 +202,18 @@ def segments(score: np.ndarray, lettered: np.ndarray, switch: float = SWITCH) ->
     out = []
     for k, i in enumerate(first):
         j = first[k + 1] if k + 1 < len(first) else len(rows)
-        total = score[rows[i:j]].sum(0).astype(np.float64)
-        e = np.exp(total - total.max())
         at = 0 if k == 0 else int(rows[i])  # lines without letters belong to the segment before
-        end = int(rows[j]) if k + 1 < len(first) else len(lettered)
-        out.append((at, end - at, LANGS[path[i]], float(e[path[i]] / e.sum())))
+        end = int(rows[j]) if k + 1 < len(first) else len(words)
+        n, lang = int(words[rows[i:j]].sum()), int(path[i])
+        total = score[rows[i:j]].sum(0).astype(np.float64) / np.sqrt(n)
+        e = np.exp(total - total.max())
+        sure = float(e[lang] / e.sum())
+        if known is not None and lang in LATIN and n >= LEAST_WORDS and (share := float(known[rows[i:j], lang].sum()) / n) < LEAST_KNOWN:
+            lang, sure = len(LANGS), 1 - share
+        if out and out[-1][2] == LABELS[lang]:  # two runs of other languages are one
+            out[-1] = (out[-1][0], end - out[-1][0], LABELS[lang], min(sure, out[-1][3]))
+        else:
+            out.append((at, end - at, LABELS[lang], sure))
     return out
 
 
@@ -211,7 +238,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.nda
         keys = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "n"])
 
-    table = picked.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    table = arrow_map(picked.select("text", "lang"), count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))
     for r in table.toLocalIterator():  # bounded by the sample
         out[r["word"]][LANGS.index(r["lang"])] = r["n"]
@@ -233,15 +260,15 @@ def detect(ocr: DataFrame, counts: dict[str, np.ndarray], switch: float = SWITCH
         kind = pa.list_(pa.struct([("first_line", pa.int32()), ("n_lines", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
         for b in batches:
             records = [x or [] for x in b.column(1).to_pylist()]
-            score, lettered = scorer.lines([x or "" for x in chain.from_iterable(records)])
+            score, words, known = scorer.lines([x or "" for x in chain.from_iterable(records)])
             out, at = [], 0
             for r in records:
-                found = segments(score[at : at + len(r)], lettered[at : at + len(r)], switch)
+                found = segments(score[at : at + len(r)], words[at : at + len(r)], known[at : at + len(r)], switch)
                 out.append([dict(zip(("first_line", "n_lines", "lang", "confidence"), s)) for s in found])
                 at += len(r)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["item_id", "segments"])
 
-    return ocr.select("item_id", "texts").mapInArrow(label, _SEGMENT)
+    return arrow_map(ocr.select("item_id", "texts"), label, _SEGMENT)
 
 
 def latest_language(quality: DataFrame) -> DataFrame:
@@ -253,9 +280,10 @@ def latest_language(quality: DataFrame) -> DataFrame:
 
 
 def record_segments(ocr: DataFrame, docs: DataFrame, per_language: int = PER_LANGUAGE, switch: float = SWITCH) -> DataFrame:
-    """(item_id, segments), one row per item with letters; of differing rows of an item the greatest list of segments holds."""
+    """(item_id, segments), one row per item with letters; of differing rows of an item the one with the most lines holds, then the surest, then the greatest."""
     found = detect(ocr.where(F.col("item_id").isNotNull()), train(docs, per_language), switch).where(F.size("segments") > 0)
-    return found.groupBy("item_id").agg(F.max("segments").alias("segments"))
+    best = F.struct(F.aggregate("segments.n_lines", F.lit(0), lambda x, y: x + y), F.array_min("segments.confidence"), "segments")
+    return found.groupBy("item_id").agg(F.max(best).alias("x")).select("item_id", "x.segments")
 
 
 def relabelled(ocr: DataFrame, quality: DataFrame, docs: DataFrame, per_language: int = PER_LANGUAGE, switch: float = SWITCH) -> DataFrame:

@@ -38,19 +38,20 @@ def _pass_on(leaves: DataFrame, scope: list[str]) -> DataFrame:
     spare = F.col("available") - F.col("allocated")
     x = leaves.withColumn("spare", spare).withColumn("spares", F.sum("spare").over(over)).withColumn("unmet", F.sum("open").over(over))
     x = x.withColumn("give", F.least("unmet", "spares"))
-    x = x.withColumn("base", F.when(F.col("spares") > 0, F.expr("(give * spare) div spares")).otherwise(F.lit(0)))
-    x = x.withColumn("frac", F.when(F.col("spares") > 0, F.expr("(give * spare) % spares")).otherwise(F.lit(0)))
+    # products of counts need more than 64 bits
+    x = x.withColumn("frac", F.when(F.col("spares") > 0, F.expr("cast((cast(give as decimal(19,0)) * cast(spare as decimal(19,0))) % spares as bigint)")).otherwise(F.lit(0)))
+    x = x.withColumn("base", F.when(F.col("spares") > 0, F.expr("cast((cast(give as decimal(19,0)) * cast(spare as decimal(19,0)) - frac) / spares as bigint)")).otherwise(F.lit(0)))
     rank = F.row_number().over(over.orderBy(F.col("frac").desc(), *LEAF))
     x = x.withColumn("left", F.col("give") - F.sum("base").over(over))
     x = x.withColumn("gift", F.col("base") + F.when((rank <= F.col("left")) & (F.col("frac") > 0), 1).otherwise(0))
     # the quota handed on is taken off the open leaves, in order of their names
     before = F.coalesce(F.sum("open").over(over.orderBy(*LEAF).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("settled", F.greatest(F.lit(0), F.least(F.col("open"), F.col("give") - before)))
-    return x.select(*LEAF, "topic", "subtopic", "is_generated", "wanted", "available", (F.col("allocated") + F.col("gift")).alias("allocated"), (F.col("open") - F.col("settled")).alias("open"))
+    return x.select(*LEAF, "topic", "subtopic", "is_generated", "wanted", "available", "short", (F.col("allocated") + F.col("gift")).alias("allocated"), (F.col("open") - F.col("settled")).alias("open"))
 
 
 def allocate(items: DataFrame, targets: DataFrame, permille: int = 100, name: str = "quota") -> DataFrame:
-    """One row per target category: wanted, available, allocated rows and ``short`` = wanted - available if positive.
+    """One row per target category: wanted, available and allocated rows, ``short``: what its own rows leave open and is handed on, and ``unmet``: what of that no other category could take.
 
     Wanted is the greater of min_rows and floor(floor(rows * permille / 1000) *
     share_ppm / 1e6), with all rows of ``items``, whatever their category.  The
@@ -64,14 +65,15 @@ def allocate(items: DataFrame, targets: DataFrame, permille: int = 100, name: st
         F.min("topic").alias("topic"), F.min("subtopic").alias("subtopic"), F.min(F.col("is_generated").cast("int")).alias("is_generated"),
         F.coalesce(F.sum("share_ppm"), F.lit(0)).alias("share_ppm"), F.coalesce(F.sum("min_rows"), F.lit(0)).alias("min_rows"),
     )
-    size = F.expr(f"(((total * {int(permille)}) div 1000) * share_ppm) div 1000000")
+    part = f"(total div 1000) * {int(permille)} + ((total % 1000) * {int(permille)}) div 1000"
+    size = F.expr(f"({part}) div 1000000 * share_ppm + (({part}) % 1000000 * share_ppm) div 1000000")
     leaves = goal.join(leaf_counts(items), LEAF, "left").crossJoin(F.broadcast(total))
     leaves = leaves.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("wanted", F.greatest(F.col("min_rows").cast("bigint"), size))
     leaves = leaves.withColumn("allocated", F.least("wanted", "available")).withColumn("open", F.col("wanted") - F.col("allocated"))
+    leaves = leaves.withColumn("short", F.col("open"))  # what the leaf cannot fill and hands on
     for scope in (["t", "s"], ["t"], []):
         leaves = _pass_on(leaves, scope)
-    out = leaves.withColumn("short", F.greatest(F.lit(0), F.col("wanted") - F.col("available")))
-    return staged(out.drop("open"), name)
+    return staged(leaves.withColumnRenamed("open", "unmet"), name)
 
 
 def shortfalls(items: DataFrame, targets: DataFrame, permille: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrain.llm import canonical, cutoffs, encoding, history, languages, mixing, proportional, truncation
 from loomgrain.runtime import load
@@ -64,9 +65,14 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportional.sample(*_p6(spark, sf_dir))
 
 
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the sample by category."""
+    return p6_sample(spark, sf_dir).groupBy("topic", "subtopic", "is_generated").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = proportional.allocate(*_p6(spark, sf_dir))
-    return out.select("topic", "subtopic", "is_generated", "wanted", "available", "allocated", "short")
+    return out.select("topic", "subtopic", "is_generated", "wanted", "available", "allocated", "short", "unmet")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +101,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_records, p3_found, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
+    for f in (p1_found, p1_records, p3_found, p4_found, p4_report, p5_found, p5_segments, p6_found, p6_sample, p6_counts, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
 }

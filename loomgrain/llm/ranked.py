@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrain.operators.ordering import PID, POS, group_offsets, range_cumulated, range_sorted, with_rank
-from loomgrain.runtime import broadcast_if_small, staged
+from loomgrain.runtime import arrow_map, broadcast_if_small, staged
 
 __all__ = ["PID", "POS", "group_offsets", "kth_rows", "neighbours", "range_cumulated", "range_sorted", "run_counts", "run_members", "with_rank"]
 
@@ -68,7 +68,7 @@ def neighbours(df: DataFrame, order: list[str], key: str, ident: str, name: str)
         if last:
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([1], pa.int32()), pa.array([last[0]], x.schema.field(0).type), pa.array([last[1]], pa.int64()), pa.nulls(1, pa.int64())], names=names)
 
-    found = staged(rows.mapInArrow(scan, f"p int, edge int, k {kind}, a bigint, b bigint"), name)
+    found = staged(arrow_map(rows, scan, f"p int, edge int, k {kind}, a bigint, b bigint"), name)
     # two rows per partition, in order of the partitions
     w = W.orderBy("p", "edge")
     edges = found.where(F.col("edge").isNotNull()).select("p", "edge", "k", "a", F.lead("k").over(w).alias("k2"), F.lead("a").over(w).alias("b"))
@@ -153,7 +153,7 @@ def _runs(keyed: DataFrame, members: bool, name: str) -> tuple[DataFrame, DataFr
     order = [F.col("key").asc(), F.col("item_id").asc()]
     rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select("key", "item_id", F.spark_partition_id().alias("pid"))
-    scanned = staged(rows.mapInArrow(_scan(members), _RUNS), name)
+    scanned = staged(arrow_map(rows, _scan(members), _RUNS), name)
     # At most two rows per partition: the same key in neighbouring partitions is one record.
     ends = scanned.where(F.col("kind").isin("H", "T", "B"))
     w = W.partitionBy("key")

@@ -18,18 +18,36 @@ cut AS (
 )
 """
 
-_P6 = f"""
+_LEAVES = f"""
 WITH available AS (
   SELECT {KEY.format('topic')} AS t, {KEY.format('subtopic')} AS s, is_generated AS g, count(*) AS n
   FROM data_item WHERE topic IS NOT NULL AND subtopic IS NOT NULL AND is_generated IS NOT NULL GROUP BY ALL
 ), wanted AS (
   SELECT topic, subtopic, is_generated, {KEY.format('topic')} AS t, {KEY.format('subtopic')} AS s,
     greatest(min_rows, (((SELECT count(*) FROM data_item) // 10) * share_ppm) // 1000000) AS wanted FROM sample_target
-)
-SELECT w.topic, w.subtopic, CAST(w.is_generated AS INT) AS is_generated
-FROM wanted w LEFT JOIN available a ON a.t = w.t AND a.s = w.s AND a.g = w.is_generated
-WHERE coalesce(a.n, 0) < w.wanted
-"""
+), leaf AS (
+  SELECT w.*, coalesce(a.n, 0) AS available, least(wanted, coalesce(a.n, 0)) AS allocated, wanted - least(wanted, coalesce(a.n, 0)) AS open
+  FROM wanted w LEFT JOIN available a ON a.t = w.t AND a.s = w.s AND a.g = w.is_generated
+)"""
+
+
+def _handed_on(source: str, name: str, scope: str) -> str:
+    """What leaves leave open goes to those of the same ``scope`` by the rows they have to spare: largest remainder, ties by name."""
+    over = f"PARTITION BY {scope}"
+    return f""",
+{name}_a AS (SELECT *, sum(available - allocated) OVER ({over}) AS spares, least(sum(open) OVER ({over}), sum(available - allocated) OVER ({over})) AS give FROM {source}),
+{name}_b AS (SELECT *, CASE WHEN spares > 0 THEN (give * (available - allocated)) // spares ELSE 0 END AS base, CASE WHEN spares > 0 THEN (give * (available - allocated)) % spares ELSE 0 END AS frac FROM {name}_a),
+{name}_c AS (
+  SELECT *, row_number() OVER ({over} ORDER BY frac DESC, t, s, is_generated) AS pos, give - sum(base) OVER ({over}) AS rest,
+    coalesce(sum(open) OVER ({over} ORDER BY t, s, is_generated ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}_b
+), {name} AS (
+  SELECT topic, subtopic, is_generated, t, s, wanted, available, allocated + base + CASE WHEN pos <= rest AND frac > 0 THEN 1 ELSE 0 END AS allocated,
+    open - greatest(0, least(open, give - before)) AS open FROM {name}_c
+)"""
+
+
+_P6 = _LEAVES + "SELECT topic, subtopic, CAST(is_generated AS INT) AS is_generated FROM leaf WHERE open > 0"
+_QUOTA = _LEAVES + _handed_on("leaf", "sibling", "t, s") + _handed_on("sibling", "cousin", "t") + _handed_on("cousin", "quota", "0")
 
 _NAMES = r"scene|lettering|material|sign[^\p{L}\p{N}]*colour|frame[^\p{L}\p{N}]*colour|place|size"
 _LABEL = r"""[\s"''*_]*[:=]"""
@@ -75,4 +93,8 @@ SQL = {
       coalesce((SELECT count(*) FROM scored s WHERE s.t = g.t AND s.score >= c.cutoff), 0)::BIGINT AS n_kept
     FROM goal g LEFT JOIN cut c USING (t)""",
     "p6_found": _P6,
+    "p6_counts": _QUOTA + "SELECT topic, subtopic, CAST(is_generated AS INT) AS is_generated, allocated::BIGINT AS n FROM quota WHERE allocated > 0",
+    "p6_report": _QUOTA
+    + """SELECT topic, subtopic, CAST(is_generated AS INT) AS is_generated, wanted::BIGINT AS wanted, available::BIGINT AS available, allocated::BIGINT AS allocated,
+      greatest(0, wanted - available)::BIGINT AS short, open::BIGINT AS unmet FROM quota""",
 }

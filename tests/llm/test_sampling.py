@@ -78,6 +78,14 @@ def test_quota_goes_to_siblings_then_cousins(spark):
     assert len({r["item_id"] for r in drawn}) == len(drawn)
 
 
+def test_quota_of_very_large_counts(spark):
+    """Products of counts do not fit into 64 bits."""
+    rows = [("t", "s", g, "T", "S", g, n * 10**9, m * 10**9, min(n, m) * 10**9, max(0, n - m) * 10**9, max(0, n - m) * 10**9) for g, n, m in ((0, 8, 3), (1, 1, 7))]
+    df = spark.createDataFrame(rows, "t string, s string, g int, topic string, subtopic string, is_generated int, wanted bigint, available bigint, allocated bigint, short bigint, open bigint")
+    got = {r["g"]: (r["allocated"], r["open"]) for r in proportional._pass_on(df, ["t", "s"]).collect()}
+    assert got == {0: (3 * 10**9, 0), 1: (6 * 10**9, 0)}
+
+
 def test_sample_is_repeatable_and_changes_with_the_seed(spark):
     items = [(i, "A", "a", i % 2 == 0) for i in range(2000)]
     targets = [("A", "a", True, 700_000, 0), ("A", "a", False, 300_000, 0)]

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 
 from loomgrain.llm import encoding, languages, truncation
@@ -75,6 +76,23 @@ def test_languages_of_empty_tables(spark):
     assert found(spark, [], []) == []
 
 
+@pytest.mark.parametrize("text", [
+    "القطار الأخير يغادر المحطة في المساء", "รถไฟขบวนสุดท้าย ออกจากสถานี ตอนเย็น",
+    "Não havia ninguém naquela rua quando cheguei ontem à noitinha", "Dzisiaj wieczorem pójdziemy wszyscy razem zobaczyć przedstawienie",
+])
+def test_other_languages_are_undetermined(spark, sf, text):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    ocr = spark.createDataFrame([(1, [text]), (2, ["Line 12 reads NOTICE in violet letters.", text])], "item_id bigint, texts array<string>")
+    got = {r["item_id"]: [(s["first_line"], s["lang"]) for s in r["segments"]] for r in languages.record_segments(ocr, docs).collect()}
+    assert got[1] == [(0, "und")] and got[2][0] == (0, "en")
+
+
+def test_confidence_does_not_grow_to_one_with_length():
+    score = np.tile(np.array([[-0.4] + [-1.1] * 9]), (400, 1))
+    (_, _, lang, sure), = languages.segments(score, np.full(400, 1))
+    assert lang == "en" and sure < 1 - 1e-6
+
+
 def test_very_long_record(spark):
     assert found(spark, [(1, [EN] * 3000 + [DE] * 3000), (2, [" ".join([FR] * 4000)])], [(2, NOW, "fr")]) == [(1, 0, "en"), (1, 3000, "de")]
 
@@ -106,7 +124,7 @@ def test_held_out_accuracy(spark, sf):
     rows = docs.where("doc_id % 5 = 0").select("text", "lang").collect()
     right = total = 0
     for r in rows:
-        score, ok = scorer.lines([r["text"]])
+        score, ok, _ = scorer.lines([r["text"]])
         if ok[0]:
             total += 1
             right += languages.LANGS[int(score[0].argmax())] == r["lang"]
@@ -182,6 +200,62 @@ def test_alignment_with_differences_at_the_cut():
     assert truncation.ends_early(whole[:-8] + "nobody", whole) is None
 
 
+def test_no_evidence_is_no_cut(spark):
+    """A closing word that no other text has in any form tells nothing."""
+    assert cut_ids(spark, ["a b", "A-b", "zq vx", "Ügh"]) == []
+
+
+def test_planted_prefixes_are_found(spark, sf):
+    """Recall of the near-copies: texts cut at 30 to 95 percent, clean or with a misread word in twenty-five, beside their whole copies."""
+    rng = random.Random(5)
+    texts = sorted({r[0].strip() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r[0] and len(r[0].split()) > 25})[:60]
+    rows, cut = [], []
+    for i, t in enumerate(texts):
+        rows.append((i, t))
+        for k, share in enumerate((0.3, 0.5, 0.6, 0.8, 0.95)):
+            at = int(len(t) * share)
+            while not (t[at - 1].isalnum() and t[at].isalnum()):
+                at -= 1
+            words = t[:at].split(" ")
+            if k % 2:
+                words = [w[:-1] + "ø" if j % 25 == rng.randrange(25) and len(w) > 3 else w for j, w in enumerate(words)]
+            if len(words) > 8:
+                cut.append(1000 + 10 * i + k)
+                rows.append((cut[-1], " ".join(words)))
+    got = {r["doc_id"]: r["cut"] for r in truncation.aligned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got.get(i, False) for i in cut) >= 0.9 * len(cut) > 100
+    assert not any(got.get(i, False) for i in range(len(texts)))
+
+
+def test_copies_with_one_end_do_not_all_meet(spark, monkeypatch):
+    """Of 300 near-copies with the same end each meets their longest, not all others."""
+    base = " ".join(f"the {w} of the market opens at dawn and" for w in ("door", "gate", "stall", "shop", "bell", "clock"))
+    rows = [(i, f"{base} number {i} of them all closes late in the evening") for i in range(300)]
+    met = []
+    run = truncation.staged
+
+    def seen(df, name):
+        out = run(df, name)
+        met.extend([out.count()] if "-pairs-" in name else [])
+        return out
+
+    monkeypatch.setattr(truncation, "staged", seen)
+    truncation.aligned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sum(met) < 300 * 20
+
+
+def test_very_long_words_count_by_their_full_length(spark):
+    word = "x" * 100 + ".y" * 50_000
+    got = truncation._turns(word)
+    assert len(got) == 100_000 and truncation._turns("abc") is None
+    assert cut_ids(spark, [f"a {word}\nb {word}"] * 2 + [f"c {word}", f"d {word[:-2]}"] + [f"e{i} {word}\nlast line." for i in range(4)]) == [4]
+
+
+def cut_ids(spark, texts):
+    rows = [(i + 1, t, "s") for i, t in enumerate(texts)]
+    return sorted(r[0] for r in truncation.found_cut(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect())
+
+
 def test_cut_of_empty_table_and_rates(spark):
     assert cut(spark, []) == []
     d = spark.createDataFrame([*BASE, (200, "Nobody could say who wro", None)], "doc_id bigint, text string, source string")
