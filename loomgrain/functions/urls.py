@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrain.operators.ordering import numbered
+
 # Parts of host names of stock sites, and of content delivery networks.
 STOCK = (
     "shutterstock.com", "gettyimages.com", "istockphoto.com", "alamy.com", "dreamstime.com", "123rf.com",
@@ -51,12 +53,14 @@ def relevant_pages(urls: DataFrame, page: str, url: str, domains: tuple[str, ...
 def download_plan(urls: DataFrame, url: str, order: str, per_host: int = 4) -> DataFrame:
     """URLs without blocked hosts, ``per_host`` of each host (three times as many of a CDN), CDN first.
 
-    Adds host, is_cdn, and pos, the rank within the host by ``order``.
+    Adds host, is_cdn, pos, the rank within the host by ``order``, and place, the rank in the plan: by CDN, pos, host and ``order`` (unique).
     """
     h = host(F.col(url))
     x = urls.where(F.col(url).isNotNull()).withColumn("host", h).where(~is_blocked(F.col("host"))).withColumn("is_cdn", is_cdn(F.col("host")))
     x = x.withColumn("pos", F.row_number().over(W.partitionBy("host").orderBy(order)))
-    return x.where(F.col("pos") <= F.when(F.col("is_cdn"), 3 * per_host).otherwise(per_host))
+    x = x.where(F.col("pos") <= 3 * per_host)  # a constant: the ranking of a host keeps no more rows than that
+    x = x.where(F.col("is_cdn") | (F.col("pos") <= per_host))
+    return numbered(x, [F.col("is_cdn").desc(), F.col("pos").asc(), F.col("host").asc(), F.col(order).asc()], "place", name="plan")
 
 
 def target_file(url: Column) -> Column:

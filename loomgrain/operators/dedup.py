@@ -122,9 +122,10 @@ def near_values(values: DataFrame, taken: DataFrame, scope: list[str], max_dista
 
 
 def cleaned(rows: DataFrame, scope: list[str], order: str, value: str = "hash") -> DataFrame:
-    """The first row of each exact hash in its scope; rows without a hash stay."""
+    """The first row of each exact hash in its scope; rows without a hash stay. Rows without a scope are a scope of their own."""
     first = rows.where(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.min(order).alias(order))
-    return rows.join(first, [*scope, value, order], "left_semi").unionByName(rows.where(F.col(value).isNull()))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*scope, value, order)]
+    return rows.alias("r").join(first.alias("f"), on, "left_semi").unionByName(rows.where(F.col(value).isNull()))
 
 
 def stats(decided: DataFrame, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrain.functions.text import strip
+from loomgrain.runtime import broadcast_if_small
 
 
 def pairs(config_topics: DataFrame) -> DataFrame:
@@ -46,9 +47,14 @@ def unseen_urls(urls: DataFrame, seen: DataFrame, scope: list[str], limit: int =
     return open_.unionByName(urls.join(full.select(*scope), scope, "left_semi"))
 
 
+def order() -> list[Column]:
+    """Smaller priority first, within it the newest; ties by query."""
+    return [F.asc("priority"), F.desc("enqueued_at"), F.asc("query")]
+
+
 def in_order(frontier: DataFrame) -> DataFrame:
-    """Smaller priority first, within it the newest."""
-    return frontier.orderBy("priority", F.desc("enqueued_at"), "query")
+    """T1."""
+    return frontier.orderBy(*order())
 
 
 def fan_out(targets: DataFrame, queries: DataFrame, each: bool = False) -> DataFrame:
@@ -63,7 +69,7 @@ def fan_out(targets: DataFrame, queries: DataFrame, each: bool = False) -> DataF
 
 def static_fallback(open_pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seeds of the pair's topic."""
-    return open_pairs.join(F.broadcast(seeds), "topic")
+    return open_pairs.join(broadcast_if_small(seeds), "topic")
 
 
 def batch(open_pairs: DataFrame, k: int, order: str = "pos") -> DataFrame:

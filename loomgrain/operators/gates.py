@@ -22,6 +22,7 @@ def has_watermark(texts: Column) -> Column:
 def quality_codes(g: QualityGate) -> Column:
     """F1 over the columns of a quality record. Text density counts only where there is no character density."""
     c = F.col
+    over = lambda name, most: (c(name) > most) & ~F.isnan(name)  # noqa: E731  NaN would be over every number
     language = ~F.coalesce(c("lang_ok"), F.lit(True)) if not g.languages else ~F.coalesce(c("lang").isin(*g.languages), F.lit(False))
     return codes(
         (c("coverage") < g.min_coverage, "coverage_lt"),
@@ -29,18 +30,18 @@ def quality_codes(g: QualityGate) -> Column:
         (c("words") < g.min_words, "words_lt"),
         (c("sharpness") < g.min_sharpness, "sharpness_lt"),
         (c("char_h_mean") < g.min_char_h, "char_h_mean_lt"),
-        (c("char_h_cv") > g.max_char_h_cv, "char_h_cv_gt"),
-        (c("line_angle_std") > g.max_line_angle_std, "line_angle_std_gt"),
+        (over("char_h_cv", g.max_char_h_cv), "char_h_cv_gt"),
+        (over("line_angle_std", g.max_line_angle_std), "line_angle_std_gt"),
         (c("centrality") < g.min_centrality, "centrality_lt"),
-        (c("border_ratio") > g.max_border_ratio, "border_ratio_gt"),
+        (over("border_ratio", g.max_border_ratio), "border_ratio_gt"),
         (c("char_density") < g.min_char_density, "char_density_lt"),
         (c("char_density").isNull() & (c("text_density") < g.min_text_density), "text_density_lt"),
-        (c("clutter_index") > g.max_clutter, "clutter_gt"),
+        (over("clutter_index", g.max_clutter), "clutter_gt"),
         (c("contrast") < g.min_contrast, "contrast_lt"),
         (c("min_side_val") < g.min_side, "min_side_lt"),
         (c("max_side_val") > g.max_side, "max_side_gt"),
         (c("aspect_ratio") < g.min_ar, "ar_lt"),
-        (c("aspect_ratio") > g.max_ar, "ar_gt"),
+        (over("aspect_ratio", g.max_ar), "ar_gt"),
         (c("has_watermark") & F.lit(g.watermark), "has_watermark"),
         (language & F.lit(g.require_language), "lang_not_allowed"),
     )

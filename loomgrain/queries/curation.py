@@ -31,15 +31,19 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return items.withColumn("reasons", F.when(F.col("assessed"), F.col("codes")).otherwise(F.array(F.lit("ocr_failed"))))
 
 
-def _codes_sql() -> str:
+def _over(c: str, most: float) -> str:
+    return f"{c} > {most} AND NOT isnan({c})"
+
+
+def _codes_sql(G: QualityGate = G) -> str:
     pairs = (
         (f"coverage < {G.min_coverage}", "coverage_lt"), (f"legibility < {G.min_legibility}", "legibility_lt"), (f"words < {G.min_words}", "words_lt"),
-        (f"sharpness < {G.min_sharpness}", "sharpness_lt"), (f"char_h_mean < {G.min_char_h}", "char_h_mean_lt"), (f"char_h_cv > {G.max_char_h_cv}", "char_h_cv_gt"),
-        (f"line_angle_std > {G.max_line_angle_std}", "line_angle_std_gt"), (f"centrality < {G.min_centrality}", "centrality_lt"),
-        (f"border_ratio > {G.max_border_ratio}", "border_ratio_gt"), (f"char_density < {G.min_char_density}", "char_density_lt"),
-        (f"char_density IS NULL AND text_density < {G.min_text_density}", "text_density_lt"), (f"clutter_index > {G.max_clutter}", "clutter_gt"),
+        (f"sharpness < {G.min_sharpness}", "sharpness_lt"), (f"char_h_mean < {G.min_char_h}", "char_h_mean_lt"), (_over("char_h_cv", G.max_char_h_cv), "char_h_cv_gt"),
+        (_over("line_angle_std", G.max_line_angle_std), "line_angle_std_gt"), (f"centrality < {G.min_centrality}", "centrality_lt"),
+        (_over("border_ratio", G.max_border_ratio), "border_ratio_gt"), (f"char_density < {G.min_char_density}", "char_density_lt"),
+        (f"char_density IS NULL AND text_density < {G.min_text_density}", "text_density_lt"), (_over("clutter_index", G.max_clutter), "clutter_gt"),
         (f"contrast < {G.min_contrast}", "contrast_lt"), (f"min_side_val < {G.min_side}", "min_side_lt"), (f"max_side_val > {G.max_side}", "max_side_gt"),
-        (f"aspect_ratio < {G.min_ar}", "ar_lt"), (f"aspect_ratio > {G.max_ar}", "ar_gt"), ("has_watermark", "has_watermark"),
+        (f"aspect_ratio < {G.min_ar}", "ar_lt"), (_over("aspect_ratio", G.max_ar), "ar_gt"), ("has_watermark", "has_watermark"),
     )
     return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in pairs) + "], lambda x: x IS NOT NULL)"
 
@@ -168,9 +172,8 @@ def allocation_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def remaining_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of which the last two batches hold nothing in their proper spelling."""
-    done = load(spark, d, "data_item", "topic", "subtopic", "batch_no").where("batch_no >= 5")
-    return frontier.remaining(load(spark, d, "subtopic_pair"), done)
+    """Pairs of which nothing has been delivered in their proper spelling."""
+    return frontier.remaining(load(spark, d, "subtopic_pair"), load(spark, d, "data_item", "topic", "subtopic"))
 
 
 def first_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -180,10 +183,10 @@ def first_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frontier_order(spark: SparkSession, d: str) -> DataFrame:
-    """The next hundred queries: generated ones first, then the newest."""
+    """The place of every query in the frontier: generated ones first, then the newest."""
     rows = load(spark, d, "data_item", "item_id", "query", "is_generated", "ingested_at").where("query IS NOT NULL AND is_generated IS NOT NULL")
     x = rows.select("item_id", F.concat("query", F.lit("#"), F.col("item_id").cast("string")).alias("query"), F.when(F.col("is_generated"), 1).otherwise(10).alias("priority"), F.col("ingested_at").alias("enqueued_at"))
-    return frontier.in_order(x).limit(100).select("item_id", "priority")
+    return ordering.numbered(x, frontier.order(), "place", name="frontier").select("item_id", "priority", "place")
 
 
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -208,15 +211,15 @@ def near_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, d: str) -> DataFrame:
-    """G1 over the whole index, in order of item_id."""
-    return dedup.keep_first(load(spark, d, "hash_index", "item_id", "hash"), [], "item_id")
+    """G1 over the whole index, in order of item_id; dup_of is -1 for rows that are kept."""
+    return dedup.keep_first(load(spark, d, "hash_index", "item_id", "hash"), [], "item_id").withColumn("dup_of", F.coalesce("dup_of", F.lit(-1)))
 
 
 def keep_first_by_topic(spark: SparkSession, d: str) -> DataFrame:
     """G1, G2 within the scope; items that the quality gate rejects release their place."""
     q = gates.latest_quality(load(spark, d, "quality_record", *_GATED)).select("item_id", (F.size(gates.quality_codes(G)) > 0).alias("rejected"))
     rows = load(spark, d, "hash_index", "item_id", "hash", "scope").where("scope IS NOT NULL").join(q, "item_id", "left")
-    return dedup.keep_first(rows, ["scope"], "item_id", releases="rejected")
+    return dedup.keep_first(rows, ["scope"], "item_id", releases="rejected").withColumn("dup_of", F.coalesce("dup_of", F.lit(-1)))
 
 
 def index_cleanup(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +228,7 @@ def index_cleanup(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "hash_index", "item_id", "scope")
-    return dedup.stats(keep_first(spark, d).join(rows, "item_id"), "scope")
+    return dedup.stats(keep_first(spark, d).withColumn("dup_of", F.nullif("dup_of", F.lit(-1))).join(rows, "item_id"), "scope")
 
 
 def exact_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +264,26 @@ _COUNTS = "SELECT p.topic, p.subtopic, count(d.item_id) AS image_count FROM subt
 _REPS = "reps AS (SELECT hash, min(item_id) AS i FROM hash_index WHERE hash IS NOT NULL GROUP BY hash), pairs AS (SELECT a.i AS a, b.i AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM reps a JOIN reps b ON a.i < b.i AND bit_count(xor(a.hash, b.hash)) <= 3)"
 _NAMES = ", ".join(f"('{x}')" for x in rounds.LABELS)
 _REAL = lambda m: f"round(coalesce(avg({m}) FILTER (WHERE {m} IS NOT NULL AND NOT isnan({m}::DOUBLE)), 0.0), 6) AS {m}"
+# Greedy first-keep: only holders of a hash with a neighbour are decided one after another, in order; ``r`` are all hashed rows (s, i, h, free).
+_KEPT = """
+holder AS (SELECT s, h, min(i) AS i FROM r WHERE NOT free GROUP BY s, h),
+near AS (SELECT x.i AS a, y.i AS b FROM holder x JOIN holder y ON x.s IS NOT DISTINCT FROM y.s AND x.i < y.i AND bit_count(xor(x.h, y.h)) <= 3),
+node AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT a AS i FROM near UNION SELECT b FROM near)),
+before AS (SELECT n.k, n.i, coalesce((SELECT list(a) FROM near WHERE b = n.i), []) AS l FROM node n),
+step AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS kept
+  UNION ALL SELECT b.k, CASE WHEN list_has_any(step.kept, b.l) THEN step.kept ELSE list_append(step.kept, b.i) END FROM step JOIN before b ON b.k = step.k + 1
+), kept AS (SELECT unnest(kept) AS i FROM step WHERE k = (SELECT max(k) FROM step)),
+taken AS (SELECT * FROM holder WHERE i NOT IN (SELECT i FROM node) OR i IN (SELECT i FROM kept)),
+dup AS (SELECT r.i, min(t.i) AS dup_of FROM r JOIN taken t ON r.s IS NOT DISTINCT FROM t.s AND t.i < r.i AND bit_count(xor(r.h, t.h)) <= 3 GROUP BY r.i)
+"""
+_KEEP_FIRST = f"WITH RECURSIVE r AS (SELECT 0 AS s, item_id AS i, hash AS h, false AS free FROM hash_index WHERE hash IS NOT NULL), {_KEPT} SELECT item_id, coalesce(dup_of, -1) AS dup_of FROM hash_index LEFT JOIN dup ON i = item_id"
 SQL = {
+    "keep_first": _KEEP_FIRST,
+    "keep_first_by_topic": f"WITH RECURSIVE q AS ({LATEST}), j AS (SELECT h.item_id, h.scope, h.hash, coalesce(len({_codes_sql()}) > 0, false) AS free FROM hash_index h LEFT JOIN q USING (item_id) WHERE h.scope IS NOT NULL), r AS (SELECT scope AS s, item_id AS i, hash AS h, free FROM j WHERE hash IS NOT NULL), {_KEPT} SELECT item_id, coalesce(dup_of, -1) AS dup_of FROM j LEFT JOIN dup ON i = item_id",
+    "dedup_stats": f"SELECT scope, count(*) AS total_processed, count(nullif(dup_of, -1)) AS duplicates_found FROM ({_KEEP_FIRST}) JOIN hash_index USING (item_id) GROUP BY scope",
+    # what is missing is handed out evenly here: all needs are equal and no room is reached
+    "allocation_capped": f"WITH c AS ({_COUNTS}) SELECT topic, subtopic, 7 + (3000 - 7 * count(*) OVER ()) // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY topic DESC, subtopic DESC) <= (3000 - 7 * count(*) OVER ()) % count(*) OVER () THEN 1 ELSE 0 END AS need FROM c",
     "quality_codes": _W + "SELECT item_id, array_to_string(reasons, ',') AS codes FROM outcomes",
     "accept_rate_by_topic": _W + "SELECT topic, source, count(*) AS checked, count(*) FILTER (WHERE len(reasons) = 0) AS accepted, round(count(*) FILTER (WHERE len(reasons) = 0) / count(*), 6) AS accept_rate FROM outcomes GROUP BY topic, source",
     "reason_report": _W + ", e AS (SELECT unnest(reasons) AS reason, item_id, image_path FROM outcomes), r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY item_id) AS k FROM e) SELECT reason, count(*) AS n, string_agg(image_path, chr(10) ORDER BY item_id) FILTER (WHERE k <= 6) AS examples FROM r GROUP BY reason",
@@ -285,13 +307,13 @@ SQL = {
     "allocation_uniform": f"SELECT topic, subtopic, (1000 // n + CASE WHEN pos <= 1000 % n THEN 1 ELSE 0 END)::BIGINT AS need FROM (SELECT topic, subtopic, row_number() OVER (ORDER BY topic, subtopic) AS pos, count(*) OVER () AS n FROM ({_COUNTS}))",
     "allocation_inverse": f"WITH c AS ({_COUNTS}), p AS (SELECT *, row_number() OVER (ORDER BY image_count, topic, subtopic) AS pos FROM c), b AS (SELECT *, floor(1000.0::DOUBLE * ((1.0::DOUBLE / pos) / sum(1.0::DOUBLE / pos) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))::BIGINT AS base FROM p) SELECT topic, subtopic, base + CASE WHEN pos <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS need FROM b",
     "allocation_shrunk": f"WITH c AS (SELECT topic, subtopic, greatest(0, 400 - image_count)::BIGINT AS v FROM ({_COUNTS})), s AS (SELECT *, v * (777.0::DOUBLE / sum(v) OVER ()) AS scaled FROM c), b AS (SELECT *, floor(scaled)::BIGINT AS base, scaled - floor(scaled) AS frac FROM s), r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, topic DESC, subtopic DESC) AS pos, 777 - sum(base) OVER () AS rest FROM b) SELECT topic, subtopic, base + CASE WHEN pos <= rest THEN 1 ELSE 0 END AS need FROM r",
-    "remaining_pairs": "SELECT topic, subtopic FROM subtopic_pair p WHERE NOT EXISTS (SELECT 1 FROM data_item d WHERE d.batch_no >= 5 AND d.topic = p.topic AND d.subtopic = p.subtopic)",
+    "remaining_pairs": "SELECT topic, subtopic FROM subtopic_pair p WHERE NOT EXISTS (SELECT 1 FROM data_item d WHERE d.topic = p.topic AND d.subtopic = p.subtopic)",
     "first_issues": "SELECT min(item_id) AS item_id, query FROM data_item WHERE batch_no >= 1 AND query IS NOT NULL AND query NOT IN (SELECT query FROM data_item WHERE batch_no = 0 AND query IS NOT NULL) GROUP BY query",
-    "frontier_order": "SELECT item_id, CASE WHEN is_generated THEN 1 ELSE 10 END AS priority FROM data_item WHERE query IS NOT NULL AND is_generated IS NOT NULL ORDER BY priority, ingested_at DESC, encode(query || '#' || item_id) LIMIT 100",
+    "frontier_order": "SELECT item_id, priority, row_number() OVER (ORDER BY priority, enq DESC, q) AS place FROM (SELECT item_id, CASE WHEN is_generated THEN 1 ELSE 10 END AS priority, ingested_at AS enq, encode(query || '#' || item_id) AS q FROM data_item WHERE query IS NOT NULL AND is_generated IS NOT NULL)",
     "query_variants": f"WITH x AS (SELECT item_id, subtopic, list_filter([{_strip('query')}, {_strip('prompt')}], lambda t: t IS NOT NULL AND t <> '') AS l FROM data_item WHERE subtopic IS NOT NULL), v AS (SELECT item_id, CASE WHEN len(l) = 0 THEN [subtopic] WHEN len(l) = 2 AND l[1] = l[2] THEN [l[1]] ELSE l END AS v FROM x) SELECT item_id, len(v) AS n, array_to_string(v, chr(10)) AS variants FROM v",
     "near_pairs": f"WITH {_REPS} SELECT a, b, distance FROM pairs",
     "near_classes": f"WITH {_REPS}, l AS (SELECT i, count(*) AS n FROM (SELECT a AS i FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY i) SELECT h.item_id, r.i AS class_id, coalesce(l.n, 0) AS n_links FROM hash_index h JOIN reps r USING (hash) LEFT JOIN l ON l.i = r.i",
-    "index_cleanup": "SELECT min(item_id) AS item_id FROM hash_index WHERE hash IS NOT NULL AND scope IS NOT NULL GROUP BY scope, hash UNION ALL SELECT item_id FROM hash_index WHERE hash IS NULL",
+    "index_cleanup": "SELECT min(item_id) AS item_id FROM hash_index WHERE hash IS NOT NULL GROUP BY scope, hash UNION ALL SELECT item_id FROM hash_index WHERE hash IS NULL",
     "exact_groups": "SELECT sha1(text) AS sha1, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "centroid_gate": "WITH f AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(x) AS m FROM f GROUP BY ALL), s AS (SELECT f.vec_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS c FROM f JOIN m USING (label, p) GROUP BY f.vec_id) SELECT vec_id, round(least(greatest((c + 1) / 2, 0), 1), 6) AS score, least(greatest((c + 1) / 2, 0), 1) >= 0.55 AS passed FROM s",
     "nearest_vectors": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS match, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, match) AS rank FROM s) SELECT query, match, CAST(rank AS INT) AS rank, round(c, 6) AS similarity FROM r WHERE rank <= 5",

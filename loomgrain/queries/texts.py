@@ -119,7 +119,7 @@ def similarity_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def json_prompts(spark: SparkSession, d: str) -> DataFrame:
     j = text.json_object(F.col("prompt"))
-    rows = load(spark, d, "data_item", "item_id", "prompt").where("prompt LIKE '{%'").select("item_id", j.alias("j"))
+    rows = load(spark, d, "data_item", "item_id", "prompt").where("prompt IS NOT NULL").select("item_id", j.alias("j"))
     return rows.select("item_id", F.get_json_object("j", "$.scene").alias("scene"), F.get_json_object("j", "$.place").alias("place"))
 
 
@@ -138,7 +138,7 @@ def _rx(parts: tuple[str, ...]) -> str:
 
 def download_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = urls.download_plan(load(spark, d, "data_item", "item_id", "source_url"), "source_url", "item_id")
-    return rows.select("item_id", "host", "is_cdn", "pos", urls.target_file(F.col("source_url")).alias("file"))
+    return rows.select("item_id", "host", "is_cdn", "pos", "place", urls.target_file(F.col("source_url")).alias("file"))
 
 
 def ocr_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,7 @@ def watermarks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = recognition.best_lines(F.col("texts"), F.col("confs"), 3)
+    lines = recognition.best_lines(F.col("texts"), F.col("confs"))
     return _ocr(spark, d, "texts", "confs").select("item_id", F.array_join(lines, "\n").alias("lines"))
 
 
@@ -203,15 +203,15 @@ SQL = {
     "joined_texts": f"SELECT item_id, left(coalesce(array_to_string(list_filter(list_transform(texts, lambda t: {_squeeze('t')}), lambda t: t <> ''), ' '), ''), 4000) AS joined FROM ({OCR})",
     "similarity_prompts": """SELECT topic, subtopic, CAST(i - 1 AS INT) AS pos, p[i] AS prompt FROM (SELECT topic, subtopic, ['An image about ' || topic, 'A photo related to ' || topic, 'A picture showing ' || topic,
       'An image about ' || subtopic, 'A photo related to ' || subtopic, 'A picture showing ' || subtopic, 'A picture of ' || subtopic || ' in ' || topic, 'A ' || topic || ' image about ' || subtopic] AS p FROM subtopic_pair), range(1, 9) AS r(i)""",
-    "json_prompts": "SELECT item_id, json_extract_string(try_cast(prompt AS JSON), '$.scene') AS scene, json_extract_string(try_cast(prompt AS JSON), '$.place') AS place FROM data_item WHERE prompt LIKE '{%'",
+    "json_prompts": "SELECT item_id, json_extract_string(try_cast(prompt AS JSON), '$.scene') AS scene, json_extract_string(try_cast(prompt AS JSON), '$.place') AS place FROM data_item WHERE prompt IS NOT NULL",
     "host_report": f"SELECT {_HOST} AS host, regexp_matches({_HOST}, '{_rx(urls.STOCK)}') AS is_blocked, regexp_matches({_HOST}, '{_rx(urls.CDN)}') AS is_cdn, count(*) AS n FROM data_item GROUP BY ALL",
-    "download_plan": f"""SELECT item_id, host, is_cdn, CAST(pos AS INT) AS pos, md5(source_url) || '.jpg' AS file FROM (SELECT item_id, source_url, {_HOST} AS host, regexp_matches({_HOST}, '{_rx(urls.CDN)}') AS is_cdn,
+    "download_plan": f"""SELECT item_id, host, is_cdn, CAST(pos AS INT) AS pos, row_number() OVER (ORDER BY is_cdn DESC, pos, host, item_id) AS place, md5(source_url) || '.jpg' AS file FROM (SELECT item_id, source_url, {_HOST} AS host, regexp_matches({_HOST}, '{_rx(urls.CDN)}') AS is_cdn,
       row_number() OVER (PARTITION BY {_HOST} ORDER BY item_id) AS pos FROM data_item WHERE source_url IS NOT NULL AND NOT regexp_matches({_HOST}, '{_rx(urls.STOCK)}')) WHERE pos <= CASE WHEN is_cdn THEN 12 ELSE 4 END""",
     "ocr_stats": f"""WITH x AS (SELECT item_id, confs, texts, list_filter(l, lambda x: {_strip('x.t')} <> '') AS k FROM ({_LINES}) JOIN ({OCR}) USING (item_id))
       SELECT item_id, round(coalesce(list_sum(list_transform(k, lambda x: coalesce({_C}, 0.0))) / nullif(len(k), 0), 0.0), 6) AS avg_conf, len(k) AS n_lines,
       round(CASE WHEN len(confs) = 0 OR confs IS NULL THEN 0.0 ELSE coalesce(list_sum(list_transform(confs, lambda c: CASE WHEN c > 1 THEN c / 100 ELSE c END)) / nullif(len(list_filter(confs, lambda c: c IS NOT NULL)), 0), 'NaN'::DOUBLE) END, 6) AS legibility FROM x""",
     "watermarks": f"SELECT item_id, coalesce(len(list_filter(texts, lambda t: regexp_matches(t, '(?i)alamy'))) > 0, false) AS has_watermark FROM ({OCR})",
-    "best_lines": f"SELECT item_id, array_to_string(list_transform(list_slice(list_sort(list_transform(l, lambda x: {{'c': -coalesce({_C}, 0.0), 'p': x.p, 't': x.t}})), 1, 3), lambda x: x.t), chr(10)) AS lines FROM ({_LINES})",
+    "best_lines": f"SELECT item_id, array_to_string(list_transform(list_slice(list_sort(list_transform(l, lambda x: {{'c': -coalesce({_C}, 0.0), 'p': x.p, 't': x.t}})), 1, 10), lambda x: x.t), chr(10)) AS lines FROM ({_LINES})",
     "keyword_lines": f"SELECT item_id, array_to_string(list_transform(list_slice(list_filter(texts, lambda t: regexp_matches(lower(t), 'exit|price|字')), 1, 12), lambda t: {_strip('t')}), chr(10)) AS lines FROM ({OCR})",
     "important_lines": f"""WITH l AS (SELECT item_id, unnest(range(1, least(len(texts), len(boxes)) + 1)) AS p, texts, boxes FROM ({OCR})),
       h AS (SELECT item_id, p, {_strip('texts[p]')} AS t, CASE WHEN len(boxes[p]) >= 4 THEN abs(boxes[p][4][2] - boxes[p][1][2]) ELSE 20 END AS h FROM l),

@@ -202,3 +202,33 @@ def test_throttles(spark):
     banned = {(r["host"], r["seq"]) for r in throttle.host_bans(spark.createDataFrame(rows, "host string, seq bigint, t double, outcome string")).where("banned").collect()}
     assert banned == {("h", i) for i in range(15, 20)} | {("r", 3)}
     assert throttle.cooldown(3) == 8 and throttle.cooldown(99, 4) == 60 and throttle.stalled(10, 5)
+
+
+def test_nan_is_over_no_limit(spark):
+    from loomgrain.thresholds import QualityGate
+
+    nan = float("nan")
+    cols = ("char_h_cv", "line_angle_std", "border_ratio", "clutter_index", "aspect_ratio")
+    others = ("coverage", "legibility", "sharpness", "char_h_mean", "centrality", "char_density", "text_density", "contrast")
+    schema = ", ".join(f"{c} double" for c in (*cols, *others)) + ", words bigint, min_side_val int, max_side_val int, has_watermark boolean, lang string, lang_ok boolean"
+    row = (*[nan] * len(cols), *[1000.0] * len(others), 50, 600, 800, False, "en", True)
+    assert spark.createDataFrame([row], schema).select(gates.quality_codes(QualityGate()).alias("c")).first()["c"] == []
+
+
+def test_index_rows_without_a_scope_stay(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 5), (3, "a", 5), (4, None, None), (5, None, 6)], "item_id bigint, scope string, hash bigint")
+    assert sorted(r[0] for r in dedup.cleaned(rows, ["scope"], "item_id").select("item_id").collect()) == [1, 3, 4, 5]
+
+
+def test_pairs_remain_where_nothing_was_delivered(spark):
+    p = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "topic string, subtopic string")
+    done = spark.createDataFrame([("a", "x"), ("A", "y"), (None, "z")], "topic string, subtopic string")
+    assert sorted(map(tuple, frontier.remaining(p, done).collect())) == [("a", "y"), ("b", "z")]
+
+
+def test_download_plan_puts_networks_first(spark):
+    from loomgrain.functions import urls
+
+    rows = [(i, f"https://h{i % 2}.org/{i}") for i in range(20)] + [(100 + i, f"https://x.imgur.com/{i}") for i in range(20)] + [(200, None), (201, "https://alamy.com/1")]
+    got = urls.download_plan(spark.createDataFrame(rows, "item_id bigint, url string"), "url", "item_id", 4).orderBy("place").collect()
+    assert [r["is_cdn"] for r in got] == [True] * 12 + [False] * 8 and [r["place"] for r in got] == list(range(1, 21))
