@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.runtime import staged
+from loomgrain.runtime import broadcast_if_small, staged
 
 
-def _with_min(edges: DataFrame) -> DataFrame:
+def _with_min(edges: DataFrame, name: str) -> DataFrame:
     """(u, v, m): m is the least of u and its neighbours.
 
-    The minimum is pre-aggregated; a vertex with very many neighbours meets it in
-    a join that the adaptive planner splits.
+    The minimum is pre-aggregated and staged: a few rows are broadcast, many are joined
+    as a plain table, which the adaptive planner splits for a vertex with very many neighbours (it does not split what it aggregates).
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
+    return edges.join(broadcast_if_small(least), "u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,8 +37,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         n += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_min(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        x = _with_min(large)  # all links lead from the greater to the lesser vertex
+        large = _with_min(both, f"{name}-large-{n}").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, f"{name}-linked-{n}")
+        x = _with_min(large, f"{name}-small-{n}")  # all links lead from the greater to the lesser vertex
         small = x.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(x.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small, f"{name}-{n}")

@@ -5,6 +5,7 @@ import pytest
 
 from loomgrain.llm import history
 from loomgrain.llm.components import components
+from loomgrain.runtime import scratch
 
 ITEM = "item_id bigint, batch_no int, content_sha1 string, shard string, image_path string, key string, hash string, a int"
 H = "item_id bigint, hash bigint, digest string"
@@ -91,17 +92,71 @@ def test_batch_after_batch_gives_the_images_of_all_at_once(spark):
         for _ in range(rng.randrange(5)):
             h ^= 1 << rng.randrange(64)
         hashes.append((i, signed(h)))
-    index, seen = None, {}
+    path, seen = scratch(spark, "test-index"), {}
     for b in range(4):
         part = spark.createDataFrame([(*r, "k", "h", 0) for r in items if r[1] == b], ITEM)
         known = spark.createDataFrame([(*r, "d") for r in hashes if items[r[0] - 1][1] == b], H)
-        rows, index = history.accept(index, part, known)
-        for r in rows.collect():
+        now = history.accept(path, part, known, max_shards=2)
+        for r in now.collect():
             assert items[r["item_id"] - 1][1] == b and r["kept_id"] < r["item_id"]
             seen[r["item_id"]] = r["kept_id"]
-    images = sorted((r["image"], r["item_id"]) for r in index.collect() if r["batch_no"] and r["image"] != r["item_id"])
+        sofar = [x for x in items if x[1] <= b]
+        assert {i: k for i, k in seen.items() if items[i - 1][1] == b and b} == {i: k for k, i in brute(sofar, hashes) if items[i - 1][1] == b}
+    images = sorted((r["first_id"], r["item_id"]) for r in history.images(spark, path).collect() if items[r["item_id"] - 1][1])
     assert images == brute(items, hashes)
-    assert index.count() == 160 and {i for i in seen if i >= 40} <= {i for _, i in images}
+    assert len(history._held(spark, path).shards) <= 2
+
+
+def test_a_batch_reads_its_own_slots_only(spark):
+    """What a batch of two rows reads is a small part of the stored places, and nothing of them where it has no hashes."""
+    rng = random.Random(3)
+    path = scratch(spark, "test-index")
+    some = lambda lo, n: (spark.createDataFrame([(i, 0, None, None, None, "k", "h", 0) for i in range(lo, lo + n)], ITEM), spark.createDataFrame([(i, signed(rng.getrandbits(64)), "d") for i in range(lo, lo + n)], H))
+    history.accept(path, *some(0, 3000), bits=6)
+    shards = history._held(spark, path).shards
+    all_places = history._part(spark, path, "places", shards).count()
+    places = spark.createDataFrame([(0, 5, 3), (1, 7, 64 + 9)], "ring int, lead16 bigint, slot int")
+    read = history.old_places(spark, path, shards, places)
+    assert all_places == 12_000 and 0 < read.count() < all_places / 50
+    assert "PartitionFilters: [isnotnull(slot" in (plan := read._jdf.queryExecution().toString()) or "PartitionFilters: [slot" in plan
+    history.accept(path, *some(5000, 2), bits=6)
+    assert len(history._held(spark, path).shards) == 2
+
+
+def test_an_unfinished_batch_leaves_the_index_as_it_was(spark, monkeypatch):
+    path = scratch(spark, "test-index")
+    one = lambda i: (spark.createDataFrame([(i, 0, "ab" * 20, None, None, "k", "h", 0)], ITEM), spark.createDataFrame([], H))
+    assert history.accept(path, *one(1)).count() == 0
+    hold = history._hold
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(history, "_hold", fails)
+    with pytest.raises(RuntimeError):
+        history.accept(path, *one(2))
+    monkeypatch.setattr(history, "_hold", hold)
+    assert [tuple(r) for r in history.accept(path, *one(3)).collect()] == [(1, 3)]
+
+
+def test_a_vertex_with_very_many_neighbours_is_split(spark):
+    """The join with the least neighbours is one of two plain tables, which the adaptive planner may split."""
+    from loomgrain.llm import components as c
+
+    edges = spark.range(0, 100_000, 1, 8).selectExpr("0L AS u", "abs(xxhash64(id)) AS v").unionByName(spark.range(0, 30_000, 1, 4).selectExpr("id + 50000 AS u", "id AS v"))
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        x = c._with_min(c.staged(edges, "test-star"), "test-least")
+        assert x.count() == 130_000
+        x.write.format("noop").mode("overwrite").save()
+        x.collect()
+        assert "skew=true" in x._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_search_finds_what_an_exhaustive_one_finds_and_recall_grows_with_the_beam():
