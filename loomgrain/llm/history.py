@@ -35,7 +35,7 @@ PIECE_ROWS = 40_000  # nodes of a ring that one group of rows is meant to hold
 HOT_ROWS = 2_000  # nodes with equal leading 16 bits, beyond which they go on finer rings
 MAX_SHARDS = 4  # shards of a piece before they are compacted into one
 STORED_SHARDS = 8  # shards of a stored index before they are compacted into one
-SLOT_ROWS = 50_000  # of a stored index: places in a slot when it is laid out
+SLOT_ROWS = 2_000_000  # of a stored index: places in a slot when it is laid out, some 30 MB
 
 
 def digest(c: Column) -> Column:
@@ -261,13 +261,13 @@ def rows_of(items: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def _keys(rows: DataFrame) -> DataFrame:
     """(item_id, key): digest, file and hash of each row, those that are there."""
-    keys = F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("f"), "file"), F.concat(F.lit("h"), F.col("hash").cast("string")))
+    keys = F.array(F.concat(F.lit("d"), F.base64(F.unhex("digest"))), F.concat(F.lit("f"), "file"), F.concat(F.lit("h"), F.col("hash").cast("string")))
     return rows.select("item_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
 # ---- the stored index -----------------------------------------------------------------------------
 
-_PARTS = {"keys": "key string, item_id bigint, shard string, bucket int", "places": "hash bigint, item_id bigint, ring int, lead16 bigint, shard string, slot int", "links": "a bigint, b bigint", "labels": "item_id bigint, image bigint"}
+_PARTS = {"keys": "key string, item_id bigint, n bigint, shard string, bucket int", "places": "hash bigint, item_id bigint, ring int, lead16 bigint, shard string, slot int", "links": "a bigint, b bigint", "labels": "item_id bigint, image bigint"}
 
 
 @dataclass
@@ -320,7 +320,7 @@ def _part(spark: SparkSession, path: str, part: str, shards: list[str]) -> DataF
 
 
 def _write_keys(keys: DataFrame, path: str, shard: str) -> None:
-    keys.select("key", "item_id", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/shard={shard}")
+    keys.select("key", "item_id", "n", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/shard={shard}")
 
 
 def _write_places(places: DataFrame, path: str, shard: str) -> None:
@@ -335,6 +335,11 @@ def _write(rows: DataFrame, path: str, part: str, shard: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{part}/shard={shard}")
 
 
+def _bits(n: int) -> int:
+    """Leading bits by which ``n`` places of a ring are cut into slots."""
+    return max(0, min(GROUP, int(np.ceil(np.log2(max(1, n / SLOT_ROWS))))))
+
+
 def _bucketed(keys: DataFrame, bits: int) -> DataFrame:
     return keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(1 << bits)).cast("int"))
 
@@ -361,21 +366,22 @@ def _add(path: str, rows: DataFrame, labelled: bool, bits: int | None, max_shard
     state = _held(spark, path)
     shards, shard = state.shards, f"s{state.begun + 1}-{uuid.uuid4().hex[:8]}"
     each = _keys(rows)
-    first = staged(each.groupBy("key").agg(F.min("item_id").alias("item_id")), name + "-keys")
-    n = first.count()
-    bits = state.bits if state.bits is not None else bits if bits is not None else max(0, min(GROUP, int(np.ceil(np.log2(max(1, n / SLOT_ROWS))))))
-    first = _bucketed(first, bits)
-    small = first.select("key", F.col("item_id").alias("first"))
-    small = F.broadcast(small) if n <= 20_000 else small
-    links = each.join(small, "key").where(F.col("item_id") != F.col("first")).select(F.col("first").alias("a"), F.col("item_id").alias("b"))
-    new = first
+    bits = state.bits if state.bits is not None else bits if bits is not None else _bits(rows.count())
+    first = _bucketed(each.groupBy("key").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n")), bits)
+    if shards:
+        first = staged(first, name + "-keys")
+    else:
+        _write_keys(first, path, shard)
+        first = _part(spark, path, "keys", [shard])
+    named = first.select("key", F.col("item_id").alias("first"))
+    links = each.join(broadcast_if_small(first.where(F.col("n") > 1).select("key", F.col("item_id").alias("first"))), "key")
+    links = links.where(F.col("item_id") != F.col("first")).select(F.col("first").alias("a"), F.col("item_id").alias("b"))
     if shards:
         buckets = [r[0] for r in first.select("bucket").distinct().collect()]  # as many as there are buckets at most
-        known = _part(spark, path, "keys", shards).where(F.col("bucket").isin(buckets)).join(small, "key")
+        known = _part(spark, path, "keys", shards).where(F.col("bucket").isin(buckets)).select("key", "item_id").join(broadcast_if_small(named), "key")
         known = staged(known.select("key", F.col("item_id").alias("a"), F.col("first").alias("b")), name + "-known")
         links = links.unionByName(known.select("a", "b"))
-        new = first.join(known.select("key"), "key", "left_anti")
-    _write_keys(new, path, shard)
+        _write_keys(first.join(known.select("key"), "key", "left_anti"), path, shard)
     # a hash that is known already has its links
     nodes = _part(spark, path, "keys", [shard]).where(F.startswith("key", F.lit("h"))).select(F.expr("cast(substring(key, 2) as bigint)").alias("hash"), "item_id")
     _write_places(_slots(nodes, bits), path, shard)
@@ -394,268 +400,6 @@ def _add(path: str, rows: DataFrame, labelled: bool, bits: int | None, max_shard
     return labels
 
 
-def compacted(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One ring of several: sorted runs, merged."""
-    h, i = np.concatenate([s[0] for s in shards]), np.concatenate([s[1] for s in shards])
-    order = np.argsort(h, kind="stable")
-    return h[order], i[order]
-
-
-class Piece:
-    """The part of a ring that one group of rows holds: its shards, oldest first."""
-
-    def __init__(self, lead: int, max_shards: int = MAX_SHARDS):
-        self.lead, self.max_shards = lead, max_shards
-        self.shards: list[tuple[np.ndarray, np.ndarray]] = []
-        self.parent: dict[int, int] = {}
-
-    def _root(self, x: int) -> int:
-        p = self.parent
-        while p.get(x, x) != x:
-            p[x] = p.get(p[x], p[x])
-            x = p[x]
-        return x
-
-    def _link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """The links that join two parts not yet joined within this piece."""
-        kept = []
-        for x, y in zip(a.tolist(), b.tolist()):
-            r, s = self._root(x), self._root(y)
-            if r != s:
-                self.parent[max(r, s)] = min(r, s)
-                kept.append((x, y))
-        return kept
-
-    def arrive(self, h: np.ndarray, ids: np.ndarray, match: bool = True) -> list[tuple[int, int]]:
-        """Matches a batch with all shards and with itself, adds it as a new shard, compacts on schedule."""
-        order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        links = []
-        if match:
-            for nodes, names in self.shards:
-                q, n = beam(nodes, h, self.lead)
-                links += self._link(ids[q], names[n])
-            q, n = beam(h, h, self.lead)
-            once = q < n
-            links += self._link(ids[q[once]], ids[n[once]])
-        self.shards.append((h, ids))
-        if len(self.shards) > self.max_shards:
-            self.shards = [compacted(self.shards)]
-        return links
-
-
-# ---- on tables ------------------------------------------------------------------------------------
-
-
-def _placed(nodes: DataFrame, hot_rows: int, piece_rows: int) -> DataFrame:
-    """(ring, piece, lead, turn, hash, item_id, batch_no): every node once per ring, with the piece that holds its place.
-
-    A piece is a range of leading bits, of about ``piece_rows`` nodes.  Where more
-    than ``hot_rows`` nodes share the leading 16 bits, the other 48 are again split
-    into four, and the nodes sit on four finer rings, where 28 leading bits agree
-    within the beam: the same guarantee, so a dense place is split and no node left
-    out, and the beam stays narrow however many hashes there are.
-    """
-    n = nodes.count()
-    log = lambda x: F.greatest(F.lit(0), F.ceil(F.log2(x / F.lit(float(piece_rows)))))
-    bits = max(0, min(GROUP, int(np.ceil(np.log2(n / piece_rows))))) if n > piece_rows else 0
-    at = nodes.withColumn("ring", F.explode(F.array(*[F.lit(r) for r in range(RINGS)])))
-    at = at.withColumn("lead16", F.expr("cast(shiftrightunsigned(hash, 48 - 16 * ring) & 65535 as bigint)"))
-    # at most 4 x 65,536 rows
-    dense = at.groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    dense = staged(dense.select("ring", "lead16", F.least(F.lit(12), log(F.col("n"))).cast("int").alias("fine")), "dense-places")
-    at = at.join(broadcast_if_small(dense, 4 << GROUP), ["ring", "lead16"], "left")
-    plain = at.where(F.col("fine").isNull()).select("ring", F.shiftright("lead16", GROUP - bits).alias("piece"), F.lit(16).alias("lead"), F.lit(0).alias("turn"), "hash", "item_id", "batch_no")
-    fine = at.where(F.col("fine").isNotNull()).withColumn("turn", F.explode(F.array(*[F.lit(r) for r in range(4)])))
-    # the 48 bits behind the leading 16, as the ring is turned, and the 12 of them that lead on the finer ring
-    fine = fine.withColumn("rest", F.expr("(case when ring = 0 then hash else (shiftleft(hash, 16 * ring) | shiftrightunsigned(hash, 64 - 16 * ring)) end) & 281474976710655L"))
-    sub = F.expr("shiftrightunsigned(shiftrightunsigned(rest, 36 - 12 * turn) & 4095L, 12 - fine)")
-    fine = fine.select("ring", (F.lit(1 << 40) + F.col("lead16") * 4096 + sub).alias("piece"), F.lit(28).alias("lead"), "turn", "hash", "item_id", "batch_no")
-    return plain.unionByName(fine)
-
-
-def _ring_order(h: np.ndarray, ring: int, lead: int, turn: int) -> np.ndarray:
-    """Hashes permuted so that the bits a piece agrees in lead; distances are those of the hashes."""
-    x = rotated(h, ring)
-    if lead == 16 or not turn:
-        return x
-    low, mask = x & np.uint64((1 << 48) - 1), np.uint64((1 << 48) - 1)
-    t = np.uint64(12 * turn)
-    low = ((low << t) | (low >> np.uint64(48 - 12 * turn))) & mask
-    return (x & ~mask) | low
-
-
-def _search(settled: int | None):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One piece: its batches arrive in order; yields the links found."""
-        t = pa.Table.from_batches(list(batches))
-        ring, lead, turn = (t.column(c)[0].as_py() for c in ("ring", "lead", "turn"))
-        h = _ring_order(t.column("hash").to_numpy().view(np.uint64), ring, lead, turn)
-        ids, no = t.column("item_id").to_numpy(), t.column("batch_no").to_numpy()
-        piece, links = Piece(lead), []
-        for b in np.unique(no):
-            links += piece.arrive(h[no == b], ids[no == b], match=settled is None or b > settled)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return search
-
-
-def near_links(nodes: DataFrame, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS, settled: int | None = None) -> DataFrame:
-    """(a, b): links between ``nodes`` (hash, item_id, batch_no) that differ in at most 3 bits.
-
-    Of the links found within a piece, those are kept that join parts not joined
-    there yet: the components are those of all links, without all pairs of a dense
-    place.  Batches up to ``settled`` are only loaded as shards: they are searched by later
-    ones and not compared with each other again.
-    """
-    placed = _placed(nodes, hot_rows, piece_rows)
-    return grouped(placed, "ring", "piece", "turn").applyInArrow(_search(settled), "a bigint, b bigint").distinct()
-
-
-def rows_of(items: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(item_id, batch_no, digest, file, hash) of all items; an item with several hashes has a row for each."""
-    x = items.where(F.col("item_id").isNotNull()).select(
-        "item_id", "batch_no", digest(F.col("content_sha1")).alias("digest"),
-        F.when(F.col("shard").isNotNull(), F.concat("shard", F.lit("\u0000"), file_name(F.col("image_path")))).alias("file"),
-    )
-    return x.join(hashes.where(F.col("item_id").isNotNull()).select("item_id", "hash"), "item_id", "left")
-
-
-def _keys(rows: DataFrame) -> DataFrame:
-    """(item_id, key): digest, file and hash of each row, those that are there."""
-    keys = F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("f"), "file"), F.concat(F.lit("h"), F.col("hash").cast("string")))
-    return rows.select("item_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
-
-
-# ---- the stored index -----------------------------------------------------------------------------
-
-_PARTS = {"keys": "key string, item_id bigint, shard string, bucket int", "places": "hash bigint, item_id bigint, ring int, lead16 bigint, shard string, slot int", "links": "a bigint, b bigint", "labels": "item_id bigint, image bigint"}
-
-
-@dataclass
-class State:
-    """What an index holds: its shards, and the leading bits of a place that make its slot (and of a key its bucket)."""
-
-    begun: int = 0
-    shards: list[str] = field(default_factory=list)
-    labelled: list[str] = field(default_factory=list)  # those of the shards that have labels
-    bits: int | None = None
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _held(spark: SparkSession, path: str) -> State:
-    """The state that holds: the last one whose file is there in full."""
-    folder, system = _folder(spark, f"{path}/state")
-    if not system.exists(folder):
-        return State()
-    last = max((int(x.getPath().getName()[1:]) for x in system.listStatus(folder) if x.getPath().getName().startswith("v")), default=0)
-    if not last:
-        return State()
-    stream = system.open(_folder(spark, f"{path}/state/v{last}")[0])
-    try:
-        text = bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-    return State(**json.loads(text))
-
-
-def _hold(spark: SparkSession, path: str, state: State) -> None:
-    """Makes ``state`` the one that holds: its file is written under another name and then renamed."""
-    draft, system = _folder(spark, f"{path}/state/draft-{uuid.uuid4().hex}")
-    stream = system.create(draft, True)
-    stream.write(bytearray(json.dumps(state.__dict__).encode()))
-    stream.close()
-    if not system.rename(draft, _folder(spark, f"{path}/state/v{state.begun}")[0]):
-        raise RuntimeError(f"another batch was added to {path} at the same time")
-
-
-def _part(spark: SparkSession, path: str, part: str, shards: list[str]) -> DataFrame:
-    """A part of the given shards as one table."""
-    if not shards:
-        return spark.createDataFrame([], _PARTS[part])
-    read = spark.read.schema(_PARTS[part]).option("basePath", f"{path}/{part}")
-    return read.parquet(*[f"{path}/{part}/shard={x}" for x in shards])
-
-
-def _write_keys(keys: DataFrame, path: str, shard: str) -> None:
-    keys.select("key", "item_id", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/shard={shard}")
-
-
-def _write_places(places: DataFrame, path: str, shard: str) -> None:
-    # by ranges, so that a crowded slot is no single task's
-    x = places.select("hash", "item_id", "ring", "lead16", "slot").repartitionByRange("slot", "lead16", "hash").sortWithinPartitions("slot", "lead16", "hash")
-    x.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/places/shard={shard}")
-
-
-def _write(rows: DataFrame, path: str, part: str, shard: str) -> DataFrame:
-    """Writes links or labels of a shard and reads them back."""
-    rows.write.mode("overwrite").parquet(f"{path}/{part}/shard={shard}")
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{part}/shard={shard}")
-
-
-def _bucketed(keys: DataFrame, bits: int) -> DataFrame:
-    return keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(1 << bits)).cast("int"))
-
-
-def old_places(spark: SparkSession, path: str, shards: list[str], places: DataFrame) -> DataFrame:
-    """The stored places in the slots that ``places`` (ring, lead16, slot) fall into; other slots are not read."""
-    slots = [r[0] for r in places.select("slot").distinct().collect()]  # as many as there are slots at most
-    return _part(spark, path, "places", shards).where(F.col("slot").isin(slots))
-
-
-def _slots(nodes: DataFrame, bits: int) -> DataFrame:
-    """Every node on each ring, with its place and slot."""
-    x = nodes.withColumn("ring", F.explode(F.array(*[F.lit(r) for r in range(RINGS)])))
-    x = x.withColumn("lead16", F.expr("cast(shiftrightunsigned(hash, 48 - 16 * ring) & 65535 as bigint)"))
-    return x.withColumn("slot", (F.col("ring") * (1 << bits) + F.shiftright("lead16", GROUP - bits)).cast("int"))
-
-
-def _add(path: str, rows: DataFrame, labelled: bool, bits: int | None, max_shards: int, name: str) -> DataFrame | None:
-    """Adds ``rows`` (item_id, digest, file, hash) as a shard; gives the labels of its items, if asked for.
-
-    Its links join the rows with each other and with all that is stored.
-    """
-    spark = rows.sparkSession
-    state = _held(spark, path)
-    shards, shard = state.shards, f"s{state.begun + 1}-{uuid.uuid4().hex[:8]}"
-    each = _keys(rows)
-    first = staged(each.groupBy("key").agg(F.min("item_id").alias("item_id")), name + "-keys")
-    n = first.count()
-    bits = state.bits if state.bits is not None else bits if bits is not None else max(0, min(GROUP, int(np.ceil(np.log2(max(1, n / SLOT_ROWS))))))
-    first = _bucketed(first, bits)
-    small = first.select("key", F.col("item_id").alias("first"))
-    small = F.broadcast(small) if n <= 20_000 else small
-    links = each.join(small, "key").where(F.col("item_id") != F.col("first")).select(F.col("first").alias("a"), F.col("item_id").alias("b"))
-    new = first
-    if shards:
-        buckets = [r[0] for r in first.select("bucket").distinct().collect()]  # as many as there are buckets at most
-        known = _part(spark, path, "keys", shards).where(F.col("bucket").isin(buckets)).join(small, "key")
-        known = staged(known.select("key", F.col("item_id").alias("a"), F.col("first").alias("b")), name + "-known")
-        links = links.unionByName(known.select("a", "b"))
-        new = first.join(known.select("key"), "key", "left_anti")
-    _write_keys(new, path, shard)
-    # a hash that is known already has its links
-    nodes = _part(spark, path, "keys", [shard]).where(F.startswith("key", F.lit("h"))).select(F.expr("cast(substring(key, 2) as bigint)").alias("hash"), "item_id")
-    _write_places(_slots(nodes, bits), path, shard)
-    both = nodes.withColumn("batch_no", F.lit(1))
-    if shards:
-        places = _part(spark, path, "places", [shard]).select("ring", "lead16", "slot")
-        at = places.select("ring", "lead16").distinct()  # at most 4 x 65,536 rows
-        near = old_places(spark, path, shards, places).join(broadcast_if_small(at, 4 << GROUP), ["ring", "lead16"], "left_semi").select("hash", "item_id").distinct()
-        both = both.unionByName(near.withColumn("batch_no", F.lit(0)))
-    near = near_links(staged(both, name + "-nodes"), settled=0 if shards else None)
-    links = _write(links.unionByName(near), path, "links", shard)
-    labels = _write(_labels(spark, path, shards, links, name) if labelled else links.limit(0).select(F.col("a").alias("item_id"), F.col("b").alias("image")), path, "labels", shard)
-    _hold(spark, path, State(state.begun + 1, [*shards, shard], bits))
-    if len(shards) + 1 > max_shards:
-        compact(spark, path)
-    return labels if labelled else None
-
-
 def compact(spark: SparkSession, path: str) -> None:
     """Rewrites all shards as one, in as many slots as they need by now.
 
@@ -663,8 +407,8 @@ def compact(spark: SparkSession, path: str) -> None:
     """
     state = _held(spark, path)
     shard = f"s{state.begun + 1}-{uuid.uuid4().hex[:8]}"
-    keys = _part(spark, path, "keys", state.shards).select("key", "item_id")
-    bits = max(state.bits, min(GROUP, int(np.ceil(np.log2(max(1, keys.count() / SLOT_ROWS))))))
+    keys = _part(spark, path, "keys", state.shards).select("key", "item_id", "n")
+    bits = max(state.bits, _bits(keys.count() // RINGS))
     _write_keys(_bucketed(keys, bits), path, shard)
     nodes = _part(spark, path, "places", state.shards).where(F.col("ring") == 0).select("hash", "item_id")
     _write_places(_slots(nodes, bits), path, shard)
