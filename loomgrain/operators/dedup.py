@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions.hashes import hamming
-from loomgrain.runtime import broadcast_if_small, staged
+from loomgrain.runtime import broadcast_if_small, scratch, staged
 
 BITS = 64
 HOT = 2_000  # rows that share a band, beyond which it is split
@@ -90,22 +90,22 @@ def keep_first(rows: DataFrame, scope: list[str], order: str, max_distance: int
     holder = hashed.where(~F.col("free")).groupBy(*scope, "h").agg(F.min("i").alias("first"))
     nodes = staged(holder.withColumnRenamed("h", value), name + "-nodes")
     pairs = staged(near_pairs(nodes, scope, max_distance, value).select("a", "b"), name + "-pairs")
-    # Among holders: greedy over the pairs of distinct hashes, earlier first.
+    # Among holders: greedy over the pairs of distinct hashes, earlier first. Pairs of what is decided are left out, so a round costs what is open.
     open_ = staged(pairs.select(F.col("b").alias("i")).distinct(), name + "-open-0")
-    occupied = nodes.select(F.col("first").alias("i")).join(open_, "i", "left_anti")
-    dropped = None
-    n = 0
+    taken_now = staged(nodes.select(F.col("first").alias("i")).join(open_, "i", "left_anti"), name + "-taken-0")
+    path, n = scratch(rows.sparkSession, name + "-occupied"), 0
+    taken_now.write.parquet(path)
     while open_.limit(1).count():
         n += 1
-        state = occupied.select("i", F.lit(1).alias("taken"), F.lit(0).alias("undecided")).unionByName(open_.select("i", F.lit(0).alias("taken"), F.lit(1).alias("undecided")))
-        near = pairs.join(open_.withColumnRenamed("i", "b"), "b").join(state.withColumnRenamed("i", "a"), "a")
-        view = open_.join(near.groupBy("b").agg(F.max("taken").alias("taken"), F.max("undecided").alias("undecided")).withColumnRenamed("b", "i"), "i", "left")
-        view = staged(view.select("i", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("undecided", F.lit(0)).alias("undecided")), f"{name}-{n}")
-        kept = view.where((F.col("taken") == 0) & (F.col("undecided") == 0)).select("i")
-        gone = view.where(F.col("taken") == 1).select("i")
-        occupied = staged(occupied.unionByName(kept), f"{name}-occupied-{n}")
-        dropped = staged(gone if dropped is None else dropped.unionByName(gone), f"{name}-dropped-{n}")
-        open_ = staged(view.where((F.col("taken") == 0) & (F.col("undecided") == 1)).select("i"), f"{name}-open-{n}")
+        gone = staged(pairs.join(broadcast_if_small(taken_now.withColumnRenamed("i", "a")), "a", "left_semi").select(F.col("b").alias("i")).distinct(), f"{name}-gone-{n}")
+        decided = broadcast_if_small(gone)
+        left = pairs.join(decided.withColumnRenamed("i", "b"), "b", "left_anti").join(decided.withColumnRenamed("i", "a"), "a", "left_anti")
+        pairs = staged(left.select("a", "b"), f"{name}-pairs-{n}")
+        waiting = staged(pairs.select(F.col("b").alias("i")).distinct(), f"{name}-waiting-{n}")
+        taken_now = staged(open_.join(decided, "i", "left_anti").join(broadcast_if_small(waiting), "i", "left_anti"), f"{name}-taken-{n}")
+        taken_now.write.mode("append").parquet(path)
+        open_ = waiting
+    occupied = rows.sparkSession.read.schema(nodes.select(F.col("first").alias("i")).schema).parquet(path)
     # Every row against the occupied hashes that came before it.
     taken = nodes.join(occupied.withColumnRenamed("i", "first"), "first", "left_semi")
     values = hashed.groupBy(*scope, "h").agg(F.min("i").alias("first")).withColumnRenamed("h", value)
