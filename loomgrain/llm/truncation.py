@@ -131,20 +131,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each text is judged by, in one pass: its closing, and its window keys (see ``_keys``)."""
+    """What each text is judged by, in one pass: its closing, its window keys (see ``_keys``) and its end (see ``_end``)."""
     known: dict[str, int] = {}
     for b in batches:
         texts = b.column(1).to_pylist()
         x = [closing(t) for t in texts]
         cols = [pa.array([r[i] for r in x], pa.string()) for i in range(4)]
         stem = pa.array([_ELLIPSIS.sub("", r[3]) if r[0] == "dots" else r[3] for r in x], pa.string())
-        keys = [_keys(_WORD.findall(t.lower()), known) for t in texts]
+        words = [_WORD.findall(t.lower()) for t in texts]
+        keys = [_keys(w, known) for w in words]
+        ends = [_end(t) for t in texts]
         longs = pa.list_(pa.int64())
-        more = [pa.array([len(t) for t in texts], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], longs), pa.array([k[2] for k in keys], longs)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols, stem, *more], names=["doc_id", "kind", "before", "shape", "word", "stem", "size", "tail", "asks", "keys"])
+        more = [pa.array([len(t) for t in texts], pa.int64()), pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())]
+        more += [pa.array([k[0] for k in keys], pa.int64()), pa.array([max(1, len(w) - SHINGLE + 1) for w in words], pa.int64()), pa.array([k[1] for k in keys], longs), pa.array([k[2] for k in keys], longs)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols, stem, *more], names=["doc_id", "kind", "before", "shape", "word", "stem", "size", "ask_end", "end", "n_ask", "n_all", "asks", "keys"])
 
 
-_FEATURES = "doc_id bigint, kind string, before string, shape string, word string, stem string, size bigint, tail bigint, asks array<bigint>, keys array<bigint>"
+_FEATURES = "doc_id bigint, kind string, before string, shape string, word string, stem string, size bigint, ask_end bigint, end bigint, n_ask bigint, n_all bigint, asks array<bigint>, keys array<bigint>"
 
 
 def features(texts: DataFrame, name: str = "features") -> DataFrame:
@@ -256,7 +259,7 @@ def _shingle_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def _keys(words: list[str], known: dict[str, int]) -> tuple[int | None, np.ndarray | None, np.ndarray | None]:
-    """(tail, asks, keys) of a text: the hash of its last three complete words, its own keys, and those of all its beginnings.
+    """(n, asks, keys) of a text: its number of distinct shingles, its own keys, and those of all its beginnings.
 
     A key is made of three min-hashes of a band: over all shingles up to a place, over the first ``WINDOW`` of them and over the last.  So a text that goes on behind a place has the same keys there as one that was cut at it, and one with
     misreadings has them in a band with the third power of the similarity.  The keys of neighbouring places mostly
@@ -275,13 +278,26 @@ def _keys(words: list[str], known: dict[str, int]) -> tuple[int | None, np.ndarr
         window[:, step:] = np.minimum(window[:, step:], window[:, :-step].copy())
         step *= 2
     keys = _mixed(_mixed(_mixed(so_far + _BAND) + first) + window).view(np.int64)
-    return hash_of(words[-4:-1]), keys[:, -1].copy(), np.unique(keys)
+    return len(np.unique(x)), keys[:, -1].copy(), np.unique(keys)
 
 
-def hash_of(words: list[str]) -> int:
+def _end(text: str) -> tuple[int | None, int | None]:
+    """Hashes of the end of a text, as one that asks and as one that answers: from its last shingle on that leaves 32 characters.
+
+    There ``ends_early`` lays its anchor in two texts with the same end: it aligns the end with itself and the answering text does
+    not go on behind it, so the alignment does not tell.  This is not sure, and the hash is null, for an asking text with
+    a mark of the cut, which is not aligned, and for an answering one that has the shingle at other places too.
+    """
     import xxhash
 
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+    words = [(m.group().lower(), m.start()) for m in _WORD.finditer(text)]
+    i = next((i for i in range(len(words) - SHINGLE, -1, -1) if words[i][1] <= len(text) - 32), None)
+    if i is None:
+        return None, None
+    end = xxhash.xxh64_intdigest(text[words[i][1] :]) - (1 << 63)
+    first, last = words[i][0], [w for w, _ in words[i : i + SHINGLE]]
+    once = sum(w == first and [x for x, _ in words[k : k + SHINGLE]] == last for k, (w, _) in enumerate(words)) == 1
+    return None if _ELLIPSIS.search(text) or _FRAGMENT.search(text) else end, end if once else None
 
 
 def _codes(text: str) -> np.ndarray:
@@ -365,32 +381,37 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def aligned(texts: DataFrame, ends: DataFrame | None = None, name: str = "aligned") -> DataFrame:
     """(doc_id, cut) of distinct ``texts`` that a near-copy shows to be cut or whole.
 
-    Texts that answer to the same key and have the same three words before their closing word stand for each
-    other: the longest of them is asked.  Of those of one key a text asks the longest and about 8 others first, then about
-    64, 512 and so on: it goes on until an alignment decides, or to the last.  So it meets the whole
-    text among any number of copies with the same cut, and copies with one end do not all meet each other.
+    A text asks all others that answer to one of its keys, but for those whose alignment is known to tell nothing: texts with the same
+    end (see ``_end``) and those with too few shingles.  So copies with one end do not all meet each other.  Of those of
+    one key a text asks the longest and about 8 others first, then about 64, 512 and so on: it goes on until an alignment shows
+    it to be cut, or to the last.  It is cut if any near-copy shows it, whole if some tell and none shows a cut.
     """
     ends = ends or features(texts, name + "-ends")
-    asking = staged(ends.select(F.col("doc_id").alias("a"), F.explode("asks").alias("key")), name + "-asks")
-    answers = ends.select("doc_id", "size", "tail", F.explode("keys").alias("key"))
-    answers = answers.join(asking.select("key").distinct(), "key", "left_semi")
-    answers = answers.groupBy("key", "tail").agg(F.max(F.struct("size", "doc_id")).alias("x"))
-    answers = staged(answers.select("key", "x.size", F.col("x.doc_id").alias("b")), name + "-answers")
-    per = answers.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "b")).alias("top")).where(F.col("n") > 1)
-    per = staged(per.select("key", "n", F.col("top.b").alias("top")), name + "-crowded")
-    # about so many of the key's answers come before this one
-    rank = F.when(F.col("b") == F.col("top"), 0).otherwise((F.xxhash64("b", "key") / F.lit(2.0**64) + 0.5) * F.col("n"))
+    asks = ends.select(F.col("doc_id").alias("a"), "ask_end", "n_ask", F.explode("asks").alias("key"))
+    answers = ends.select(F.col("doc_id").alias("b"), "size", "end", "n_all", F.explode("keys").alias("key"))
+    answers = staged(answers.join(asks.select("key").distinct(), "key", "left_semi"), name + "-answers")
+    per = answers.groupBy("key", "end").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "b")).alias("top"))
+    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max(F.when(F.col("end").isNotNull(), F.struct("n", "end"))).alias("most")).where(F.col("n") > 1)
+    # the end that most of a key's answers have: those with it are not even joined with each other
+    per = staged(per.select("key", "n", F.col("top.b").alias("top"), F.coalesce("most.n", F.lit(0)).alias("n_most"), F.col("most.end").alias("most")), name + "-crowded")
+    has = lambda c: F.coalesce(F.col(c) == F.col("most"), F.lit(False))
+    asking = staged(asks.join(per, "key").select("key", has("ask_end").alias("side"), "a", "ask_end", "n_ask"), name + "-asks")
+    # about so many of the key's answers come before this one; those with the commonest end come last
+    place, others = F.xxhash64("b", "key") / F.lit(2.0**64) + 0.5, F.col("n") - F.col("n_most")
+    rank = F.when(F.col("b") == F.col("top"), 0).when(has("end"), others + place * F.col("n_most")).otherwise(place * others)
     level = lambda x: F.coalesce(F.floor(F.log(float(STEP), x * (STEP - 1) / STEP + 1)), F.lit(0)).cast("int")
-    answers = staged(answers.join(per, "key", "left").select("key", "b", level(rank).alias("level")), name + "-ranked")
+    sides = F.explode(F.when(has("end"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("side")
+    answers = staged(answers.join(per, "key").select("key", sides, "b", "end", "n_all", level(rank).alias("level")), name + "-ranked")
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    may_tell = (F.col("a") != F.col("b")) & F.coalesce(F.col("ask_end") != F.col("end"), F.lit(True)) & (F.col("n_all") >= SIMILARITY * F.col("n_ask"))
     found = None
     for k in range(per.agg(level(F.max("n"))).first()[0] + 1):
-        pairs = asking.join(answers.where(F.col("level") == k), "key").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+        pairs = asking.join(answers.where(F.col("level") == k), ["key", "side"]).where(may_tell).select("a", "b").distinct()
         now = arrow_map(staged(pairs, f"{name}-pairs-{k}").join(a, "a").join(b, "b").select("a", "ta", "tb"), _align, "doc_id bigint, cut boolean")
         now = staged(now.groupBy("doc_id").agg(F.max("cut").alias("cut")), f"{name}-{k}")
         found = now if found is None else found.unionByName(now)
-        asking = asking.join(now.select(F.col("doc_id").alias("a")), "a", "left_anti")
-    return found
+        asking = asking.join(now.where("cut").select(F.col("doc_id").alias("a")), "a", "left_anti")
+    return found.groupBy("doc_id").agg(F.max("cut").alias("cut"))
 
 
 def cut_texts(docs: DataFrame, threshold: float = THRESHOLD, name: str = "cut") -> DataFrame:

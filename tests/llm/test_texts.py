@@ -177,6 +177,40 @@ def test_many_copies_with_the_same_cut_meet_the_whole_text(spark):
     assert got == {k: True for k in range(10, 70)}
 
 
+def test_a_copy_longer_than_the_whole_text_does_not_stand_for_it(spark):
+    """Both have the same words before the closing one; the cut copy is longer by its misreading."""
+    words = [f"word{i:03d}" for i in range(100)]
+    whole = " ".join(words) + " and the last words of it are here."
+    rows = [(1, whole), (2, whole[:-2].replace("word050", "woooooord050"))]
+    got = {r["doc_id"]: r["cut"] for r in truncation.aligned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {2: True}
+
+
+def test_a_line_that_ends_in_one_copy_does_not_hide_the_cut_that_others_show(spark):
+    """The longest copy, asked first, has a line's end where the text was cut; of eighty others one goes on within the word."""
+    words = [f"word{i:03d}" for i in range(300)]
+    end = " ".join(words) + " and the last words of i"
+    rows = [(1, end), (2, end + "\n" + "more " * 30)]
+    rows += [(k, end.replace(f"word{k:03d}", f"w0rd{k:03d}") + ("t are here." if k == 20 else f"\nmore{k} of{k} it{k} here")) for k in range(10, 90)]
+    got = {r["doc_id"]: r["cut"] for r in truncation.aligned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] is True
+
+
+def test_texts_with_the_same_end_tell_each_other_nothing():
+    """What is left out of the pairs: same end, the answering text has its last shingle once, the asking one has no mark."""
+    rng = random.Random(4)
+    skipped = 0
+    for _ in range(3000):
+        texts = [" ".join(rng.choice(["ab", "Cd", "the", "efg hi.", "x,", "\u4e2d\u6587", "...", "%2"]) for _ in range(rng.randrange(5, 40))) for _ in range(2)]
+        e = " " + " ".join(rng.choice(["ab", "Cd", "the", "efghij", "klm", "nop", "qrs"]) for _ in range(rng.randrange(6, 14))) + rng.choice(["", ".", "..."])
+        a, b = texts[0] + e, texts[1] + e
+        (ask, _), (_, end) = truncation._end(a), truncation._end(b)
+        if ask is not None and ask == end:
+            skipped += 1
+            assert truncation.ends_early(a, b) is None
+    assert skipped > 500
+
+
 def test_alignment():
     assert truncation.ends_early("the price of the wee", "the price of the week.") is True
     assert truncation.ends_early("the price", "the price of the week.") is True
