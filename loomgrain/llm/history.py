@@ -3,6 +3,8 @@
 The index is stored in the shared folder, a shard for each segment or batch: its new keys (digests, files and
 hashes) by bucket, the places of its new hashes by slot, and the links it brought.  A batch reads the buckets of its
 keys and the slots its places fall into, and adds a shard; after ``STORED_SHARDS`` of them they are compacted into one.
+Keys and places are stored in order, and the tasks that hold the batch's keys and places read their ranges from the files: what is stored is not
+shuffled, but for places so crowded that they are split.
 
 Near hashes are found in graph index shards: small-world graphs over distinct 64-bit hashes.  A hash sits on four rings, ordered by the hash rotated by
 0, 16, 32 and 48 bits; its links on a ring of n nodes are the neighbours and the nodes
@@ -18,6 +20,7 @@ distance.  Links of equal offset need no storage: a shard is its sorted hashes.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +39,8 @@ HOT_ROWS = 2_000  # nodes with equal leading 16 bits, beyond which they go on fi
 MAX_SHARDS = 4  # shards of a piece before they are compacted into one
 STORED_SHARDS = 8  # shards of a stored index before they are compacted into one
 SLOT_ROWS = 2_000_000  # of a stored index: places in a slot when it is laid out, some 30 MB
+RANGE_ROWS = 250_000  # stored places or keys that one group of rows is meant to read
+GROUP_BYTES = 1 << 20  # of a row group of stored places or keys, so that a range reads little besides
 
 
 def digest(c: Column) -> Column:
@@ -203,13 +208,18 @@ def _placed(nodes: DataFrame, hot_rows: int, piece_rows: int) -> DataFrame:
     dense = at.groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
     dense = staged(dense.select("ring", "lead16", F.least(F.lit(12), log(F.col("n"))).cast("int").alias("fine")), "dense-places")
     at = at.join(broadcast_if_small(dense, 4 << GROUP), ["ring", "lead16"], "left")
+    fine = _finer(at.where(F.col("fine").isNotNull()))
     plain = at.where(F.col("fine").isNull()).select("ring", F.shiftright("lead16", GROUP - bits).alias("piece"), F.lit(16).alias("lead"), F.lit(0).alias("turn"), "hash", "item_id", "batch_no")
-    fine = at.where(F.col("fine").isNotNull()).withColumn("turn", F.explode(F.array(*[F.lit(r) for r in range(4)])))
+    return plain.unionByName(fine)
+
+
+def _finer(at: DataFrame) -> DataFrame:
+    """Nodes of crowded places, once per finer ring, with the piece that holds them; ``fine``: the bits a place is cut by."""
+    fine = at.withColumn("turn", F.explode(F.array(*[F.lit(r) for r in range(4)])))
     # the 48 bits behind the leading 16, as the ring is turned, and the 12 of them that lead on the finer ring
     fine = fine.withColumn("rest", F.expr("(case when ring = 0 then hash else (shiftleft(hash, 16 * ring) | shiftrightunsigned(hash, 64 - 16 * ring)) end) & 281474976710655L"))
     sub = F.expr("shiftrightunsigned(shiftrightunsigned(rest, 36 - 12 * turn) & 4095L, 12 - fine)")
-    fine = fine.select("ring", (F.lit(1 << 40) + F.col("lead16") * 4096 + sub).alias("piece"), F.lit(28).alias("lead"), "turn", "hash", "item_id", "batch_no")
-    return plain.unionByName(fine)
+    return fine.select("ring", (F.lit(1 << 40) + F.col("lead16") * 4096 + sub).alias("piece"), F.lit(28).alias("lead"), "turn", "hash", "item_id", "batch_no")
 
 
 def _ring_order(h: np.ndarray, ring: int, lead: int, turn: int) -> np.ndarray:
@@ -267,7 +277,7 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 # ---- the stored index -----------------------------------------------------------------------------
 
-_PARTS = {"keys": "key string, item_id bigint, n bigint, shard string, bucket int", "places": "hash bigint, item_id bigint, ring int, lead16 bigint, shard string, slot int", "links": "a bigint, b bigint", "labels": "item_id bigint, image bigint"}
+_PARTS = {"keys": "key string, item_id bigint, n bigint, h bigint, shard string, bucket int", "places": "hash bigint, item_id bigint, ring int, lead16 bigint, shard string, slot int", "links": "a bigint, b bigint", "labels": "item_id bigint, image bigint"}
 
 
 @dataclass
@@ -320,13 +330,14 @@ def _part(spark: SparkSession, path: str, part: str, shards: list[str]) -> DataF
 
 
 def _write_keys(keys: DataFrame, path: str, shard: str) -> None:
-    keys.select("key", "item_id", "n", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/shard={shard}")
+    x = keys.select("key", "item_id", "n", "h", "bucket").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h")
+    x.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/keys/shard={shard}")
 
 
 def _write_places(places: DataFrame, path: str, shard: str) -> None:
     # by ranges, so that a crowded slot is no single task's
     x = places.select("hash", "item_id", "ring", "lead16", "slot").repartitionByRange("slot", "lead16", "hash").sortWithinPartitions("slot", "lead16", "hash")
-    x.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/places/shard={shard}")
+    x.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("slot").parquet(f"{path}/places/shard={shard}")
 
 
 def _write(rows: DataFrame, path: str, part: str, shard: str) -> DataFrame:
@@ -341,7 +352,7 @@ def _bits(n: int) -> int:
 
 
 def _bucketed(keys: DataFrame, bits: int) -> DataFrame:
-    return keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(1 << bits)).cast("int"))
+    return keys.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(1 << bits)).cast("int"))
 
 
 def old_places(spark: SparkSession, path: str, shards: list[str], places: DataFrame) -> DataFrame:
@@ -357,6 +368,107 @@ def _slots(nodes: DataFrame, bits: int) -> DataFrame:
     return x.withColumn("slot", (F.col("ring") * (1 << bits) + F.shiftright("lead16", GROUP - bits)).cast("int"))
 
 
+def _files(spark: SparkSession, path: str, part: str, shards: list[str]) -> dict[int, list[str]]:
+    """The files of each slot or bucket."""
+    out: dict[int, list[str]] = {}
+    for x in shards:
+        folder, system = _folder(spark, f"{path}/{part}/shard={x}")
+        found = system.listFiles(folder, True)
+        while found.hasNext():
+            at = found.next().getPath()
+            if at.getName().endswith(".parquet") and "=" in (place := at.getParent().getName()):
+                out.setdefault(int(place.partition("=")[2]), []).append(re.sub("^file:/+", "file:///", at.toString()))
+    return out
+
+
+def _stored(files: list[str], column: str, lo: int, hi: int, columns: list[str]) -> Iterator[pa.Table]:
+    """The rows of each file with ``column``, by which they are sorted, from ``lo`` to ``hi``; other row groups are not read."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for f in files:
+        system, at = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", f))
+        with pq.ParquetFile(at, filesystem=system) as file:
+            k = file.schema_arrow.get_field_index(column)
+            kept = []
+            for g in range(file.num_row_groups):
+                x = file.metadata.row_group(g).column(k).statistics
+                if x is None or not x.has_min_max or x.min <= hi and x.max >= lo:
+                    kept.append(g)
+            if kept:
+                t = file.read_row_groups(kept, columns=columns)
+                yield t.filter(pc.and_(pc.greater_equal(t.column(column), lo), pc.less_equal(t.column(column), hi)))
+
+
+def _cut_bits(n: int, most: int = GROUP) -> int:
+    """Leading bits by which ``n`` stored rows are cut into ranges."""
+    return max(0, min(most, int(np.ceil(np.log2(max(1, n / RANGE_ROWS))))))
+
+
+def _looked_up(files: dict[int, list[str]], bits: int):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of one range of a bucket that are stored, with the stored item and the batch's first."""
+        t = pa.Table.from_batches(list(batches))
+        bucket, at = t.column("bucket")[0].as_py(), t.column("range")[0].as_py()
+        lo = at << (64 - bits) if bits else -(1 << 63)
+        first, hashes = dict(zip(t.column("key").to_pylist(), t.column("first").to_pylist())), t.column("h").to_numpy()
+        out = []
+        for x in _stored(files.get(bucket, []), "h", lo, lo + (1 << (64 - bits)) - 1, ["h", "key", "item_id"]):
+            x = x.filter(pa.array(np.isin(x.column("h").to_numpy(), hashes)))
+            out += [(k, i, first[k]) for k, i in zip(x.column("key").to_pylist(), x.column("item_id").to_pylist()) if k in first]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["key", "a", "b"])
+
+    return look
+
+
+def known_keys(spark: SparkSession, path: str, shards: list[str], first: DataFrame, bits: int) -> DataFrame:
+    """(key, a, b): the keys of ``first`` (key, item_id, h, bucket) that are stored, with the stored item and that of ``first``."""
+    cut = _cut_bits(_part(spark, path, "keys", shards).count() >> bits)
+    at = first.select("key", F.col("item_id").alias("first"), "h", "bucket", (F.shiftright("h", 64 - cut) if cut else F.lit(0).cast("bigint")).alias("range"))
+    return grouped(at, "bucket", "range").applyInArrow(_looked_up(_files(spark, path, "keys", shards), cut), "key string, a bigint, b bigint")
+
+
+def _search_stored(files: dict[int, list[str]], bits: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range of a ring: the batch's nodes arrive at those stored in its places; yields the links found."""
+        t = pa.Table.from_batches(list(batches))
+        ring, slot, at = (t.column(c)[0].as_py() for c in ("ring", "slot", "range"))
+        lo, piece, links = at << (GROUP - bits), Piece(GROUP), []
+        places = t.column("lead16").to_numpy()
+        for x in _stored(files.get(slot, []), "lead16", lo, lo + (1 << (GROUP - bits)) - 1, ["lead16", "hash", "item_id"]):
+            x = x.filter(pa.array(np.isin(x.column("lead16").to_numpy(), places)))
+            if len(x):
+                piece.arrive(rotated(x.column("hash").to_numpy().view(np.uint64), ring), x.column("item_id").to_numpy(), match=False)
+        links = piece.arrive(rotated(t.column("hash").to_numpy().view(np.uint64), ring), t.column("item_id").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return search
+
+
+def stored_links(spark: SparkSession, path: str, shards: list[str], new: DataFrame, bits: int, name: str) -> DataFrame:
+    """(a, b): links between the places ``new`` (hash, item_id, ring, lead16, slot) and those stored, and among the new ones.
+
+    Each range of a ring reads what is stored there, on this ring only.  Places that are crowded together with
+    what is stored are split, old nodes and new, as in ``near_links``.
+    """
+    old = old_places(spark, path, shards, new)
+    at = staged(new.groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n_new")), name + "-at")  # at most 4 x 65,536 rows
+    there = old.select("ring", "lead16").join(broadcast_if_small(at.select("ring", "lead16"), 4 << GROUP), ["ring", "lead16"]).groupBy("ring", "lead16").agg(F.count(F.lit(1)).alias("n_old"))
+    dense = at.join(there, ["ring", "lead16"], "left").withColumn("n", F.col("n_new") + F.coalesce("n_old", F.lit(0))).where(F.col("n") > HOT_ROWS)
+    fine = F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(PIECE_ROWS)))))).cast("int")
+    dense = staged(dense.select("ring", "lead16", fine.alias("fine")), name + "-dense")
+    crowded = broadcast_if_small(dense, 4 << GROUP)
+    cut = max(bits, _cut_bits(_part(spark, path, "places", shards).count() // RINGS))
+    plain = new.join(crowded, ["ring", "lead16"], "left_anti").select("ring", "slot", F.shiftright("lead16", GROUP - cut).alias("range"), "lead16", "hash", "item_id")
+    links = grouped(plain, "ring", "slot", "range").applyInArrow(_search_stored(_files(spark, path, "places", shards), cut), "a bigint, b bigint")
+    if not dense.isEmpty():
+        node = lambda x, b: x.select("ring", "lead16", "hash", "item_id", F.lit(b).alias("batch_no")).join(crowded, ["ring", "lead16"])
+        both = _finer(node(new, 1).unionByName(node(old, 0)))
+        links = links.unionByName(grouped(both, "ring", "piece", "turn").applyInArrow(_search(0), "a bigint, b bigint"))
+    return links.distinct()
+
+
 def _add(path: str, rows: DataFrame, labelled: bool, bits: int | None, max_shards: int, name: str) -> DataFrame | None:
     """Adds ``rows`` (item_id, digest, file, hash) as a shard; gives the labels of its items, if asked for.
 
@@ -373,25 +485,19 @@ def _add(path: str, rows: DataFrame, labelled: bool, bits: int | None, max_shard
     else:
         _write_keys(first, path, shard)
         first = _part(spark, path, "keys", [shard])
-    named = first.select("key", F.col("item_id").alias("first"))
     links = each.join(broadcast_if_small(first.where(F.col("n") > 1).select("key", F.col("item_id").alias("first"))), "key")
     links = links.where(F.col("item_id") != F.col("first")).select(F.col("first").alias("a"), F.col("item_id").alias("b"))
     if shards:
-        buckets = [r[0] for r in first.select("bucket").distinct().collect()]  # as many as there are buckets at most
-        known = _part(spark, path, "keys", shards).where(F.col("bucket").isin(buckets)).select("key", "item_id").join(broadcast_if_small(named), "key")
-        known = staged(known.select("key", F.col("item_id").alias("a"), F.col("first").alias("b")), name + "-known")
+        known = staged(known_keys(spark, path, shards, first, bits), name + "-known")
         links = links.unionByName(known.select("a", "b"))
-        _write_keys(first.join(known.select("key"), "key", "left_anti"), path, shard)
+        _write_keys(first.join(broadcast_if_small(known.select("key")), "key", "left_anti"), path, shard)
     # a hash that is known already has its links
     nodes = _part(spark, path, "keys", [shard]).where(F.startswith("key", F.lit("h"))).select(F.expr("cast(substring(key, 2) as bigint)").alias("hash"), "item_id")
     _write_places(_slots(nodes, bits), path, shard)
-    both = nodes.withColumn("batch_no", F.lit(1))
     if shards:
-        places = _part(spark, path, "places", [shard]).select("ring", "lead16", "slot")
-        at = places.select("ring", "lead16").distinct()  # at most 4 x 65,536 rows
-        near = old_places(spark, path, shards, places).join(broadcast_if_small(at, 4 << GROUP), ["ring", "lead16"], "left_semi").select("hash", "item_id").distinct()
-        both = both.unionByName(near.withColumn("batch_no", F.lit(0)))
-    near = near_links(staged(both, name + "-nodes"), settled=0 if shards else None)
+        near = stored_links(spark, path, shards, _part(spark, path, "places", [shard]), bits, name)
+    else:
+        near = near_links(staged(nodes.withColumn("batch_no", F.lit(0)), name + "-nodes"))
     links = _write(links.unionByName(near), path, "links", shard)
     labels = _write(_labels(spark, path, state.labelled, links, name), path, "labels", shard) if labelled else None
     _hold(spark, path, State(state.begun + 1, [*shards, shard], state.labelled + [shard] * labelled, bits))

@@ -123,6 +123,47 @@ def test_a_batch_reads_its_own_slots_only(spark):
     assert len(history._held(spark, path).shards) == 2
 
 
+def test_what_is_stored_is_not_shuffled_for_a_batch(spark, monkeypatch):
+    """300 rows whose places are those of 3,000 stored ones: groups are formed of the batch's own keys and places only."""
+    rng = random.Random(5)
+    path = scratch(spark, "test-index")
+    groups = [rng.getrandbits(16) for _ in range(64)]
+    value = lambda: sum(rng.choice(groups) << s for s in (0, 16, 32, 48))
+    items = [(i, int(i >= 3000), None, "s", f"p{i % 3100}") for i in range(3300)]
+    hashes = [(i, signed(value())) for i in range(3300)]
+    batch = lambda b: (spark.createDataFrame([(*r, "k", "h", 0) for r in items if r[1] == b], ITEM), spark.createDataFrame([(*r, "d") for r in hashes if items[r[0]][1] == b], H))
+    history.accept(path, *batch(0))
+    rows, group = [], history.grouped
+
+    def seen(df, *keys):
+        rows.append(df.count())
+        return group(df, *keys)
+
+    monkeypatch.setattr(history, "grouped", seen)
+    got = sorted(tuple(r) for r in history.accept(path, *batch(1)).collect())
+    assert sum(rows) <= 300 * (4 + 3) and got == brute(items, hashes) and len(got) >= 200
+
+
+def test_crowded_places_of_a_stored_index_are_split_without_loss(spark, monkeypatch):
+    """Batches of hashes that share their leading 48 bits: all places are beyond the limit, old nodes with new."""
+    monkeypatch.setattr(history, "HOT_ROWS", 20)
+    monkeypatch.setattr(history, "PIECE_ROWS", 30)
+    values = random.Random(9).sample(range(1 << 16), 240)
+    items = [(i, min(2, i // 100), None, None, None) for i in range(240)]
+    hashes = [(i, signed(v | (0xABCD << 48))) for i, v in enumerate(values)]
+    assert found(spark, items, hashes) == brute(items, hashes) != []
+
+
+def test_ranges_of_stored_keys_and_places_are_read_whole(spark, monkeypatch):
+    """Ranges of a few rows: many of them in a slot or bucket, of either sign."""
+    monkeypatch.setattr(history, "RANGE_ROWS", 20)
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    items = [(i, min(3, i // 80), None, rng.choice([None, "s"]), f"p{rng.randrange(200)}") for i in range(320)]
+    hashes = [(i, signed(rng.choice(base) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))) for i in range(320)]
+    assert found(spark, items, hashes) == brute(items, hashes) != []
+
+
 def test_an_unfinished_batch_leaves_the_index_as_it_was(spark, monkeypatch):
     path = scratch(spark, "test-index")
     one = lambda i: (spark.createDataFrame([(i, 0, "ab" * 20, None, None, "k", "h", 0)], ITEM), spark.createDataFrame([], H))
